@@ -1,0 +1,9 @@
+"""Imports every module that registers queries."""
+
+from __future__ import annotations
+
+from sectloom.plans.registry import CORE
+
+FLAGSHIP = "l04_bm25_search"
+
+__all__ = ["CORE", "FLAGSHIP"]
