@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sectloom.llm import q_pairs, q_terms  # noqa: F401
+from sectloom.llm import q_leaks, q_pairs, q_terms  # noqa: F401
 from sectloom.llm.base import LLM
 
 __all__ = ["LLM"]
