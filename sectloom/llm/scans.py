@@ -25,6 +25,10 @@ WORD = re.compile(r"[@|!$€]?[^\W_]+(?:[@|!$€]+[^\W_]+)*[@|]?")
 SIGN = re.compile(r"[0-9@|!$€]")
 #: Any sign of hyphenation before a line end; furniture may stand between the parts of the word.
 _BREAK = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])[ \t]*\n((?:[ \t]*[^\n]*\n){0,4}?)[ \t]*([^\W\d_]+)")
+_BROKEN_END = re.compile(r"[-‐‑¬\xad][ \t]*\n")
+_COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+_PLAIN = re.compile(r"[^\W_]+")
+_MISREAD = re.compile(r"[@|!$€]")
 _SPACED = re.compile(r"(?<![\w@|!$€'’-])(?:[^\W\d_] ){3,}[^\W\d_](?![\w'’-])")
 
 # fixed values: shapes of page numbers and running headers, each a whole line
@@ -38,6 +42,10 @@ _HEADER = [
 _CAPS = re.compile(r"(?=(?:[^\W\d_a-z]*[A-Z][^a-z]*){8})[A-Z][^a-z\n|{}\[\]<>=#*`]{7,80}")
 
 
+#: Every line of furniture matches this: a number at an end, a dot between, a chapter, a volume, or no small letters.
+_CANDIDATE = re.compile(r"^[\[|\-–—]?\s*\d|\d\s*[\]|\-–—)]?$|[•·]|^(?:ch|p|page|seite|chap)\b|\bvol\b|^(?-i:[^a-z]+)$", re.I)
+
+
 def header_shape(line: str) -> bool:
     """A line that looks like a running page header: author and title about a dot, chapter and title, journal and volume, or a title in capitals."""
     x = line.strip()
@@ -54,7 +62,7 @@ def furniture(lines: list[str]) -> dict[int, tuple[bool, bool]]:
     out: dict[int, tuple[bool, bool]] = {}
     for i, ln in enumerate(lines):
         x = ln.strip()
-        if not x or len(x) > 120:
+        if not x or len(x) > 120 or not _CANDIDATE.search(x):
             continue
         m = _NUMBERED.fullmatch(ln)
         if _PAGE.fullmatch(x):
@@ -74,6 +82,8 @@ def furniture(lines: list[str]) -> dict[int, tuple[bool, bool]]:
 
 def breaks(text: str):
     """(match, left part, right part, sign) of words that may be broken over a line end."""
+    if not _BROKEN_END.search(text):
+        return
     for m in _BREAK.finditer(text):
         left, sign, between, right = m.groups()
         if between:
@@ -86,7 +96,7 @@ def breaks(text: str):
 
 def tokens(text: str) -> list[str]:
     """Words in lower case, with words broken over lines put together, and compounds also as a whole."""
-    return [w.lower() for w in WORD.findall(text)]
+    return (WORD if _MISREAD.search(text) else _PLAIN).findall(text.lower())
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -106,7 +116,9 @@ def count_words(texts: DataFrame) -> DataFrame:
                 else:
                     c.update(tokens(x))
                 if "-" in x:
-                    c.update(w.lower() for w in re.findall(r"[^\W\d_]+-[^\W\d_]+", x))
+                    for w in x.split():
+                        if "-" in w:
+                            c.update(v.lower() for v in _COMPOUND.findall(w))
             yield pd.DataFrame(list(c.items()), columns=["word", "n"])
 
     return texts.mapInPandas(count, "word string, n long").filter(F.length("word") <= 60).groupBy("word").agg(F.sum("n").alias("n"))
@@ -205,7 +217,7 @@ class Repairer:
             found["hyphen"] = found.get("hyphen", 0) + 1
             return left + right
 
-        for _ in range(2):
+        for _ in range(2 if _BROKEN_END.search(kept) else 0):
             kept = re.sub(r"([^\W\d_]+)([-‐‑¬\xad])[ \t]*\n()[ \t]*([^\W\d_]+)", join, kept)
 
         n = 0
@@ -215,7 +227,9 @@ class Repairer:
             n += 1
             return m.group().replace(" ", "")
 
-        kept = _SPACED.sub(close, kept)
+        words = tokens(kept)
+        if len([w for w in words if len(w) == 1]) > 3:
+            kept = _SPACED.sub(close, kept)
 
         def fix(m: re.Match) -> str:
             nonlocal n
@@ -226,7 +240,8 @@ class Repairer:
                 return r
             return w
 
-        kept = WORD.sub(fix, kept)
+        if not self.right.keys().isdisjoint(words):
+            kept = WORD.sub(fix, kept)
         if n:
             found["glyph"] = n
         if found:
