@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sectloom.plans import q_lexical, q_text  # noqa: F401
 from sectloom.plans.registry import CORE
 
 FLAGSHIP = "l04_bm25_search"
