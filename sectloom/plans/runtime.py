@@ -81,3 +81,11 @@ def release(df: DataFrame) -> None:
 def size_bound(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def forget(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files whose data no living plan refers to."""
+    import gc
+
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
