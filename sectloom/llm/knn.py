@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectloom.llm.vectors import matrix, usable
-from sectloom.plans.runtime import cut, release
+from sectloom.plans.runtime import cut, forget, release
 
 #: Neighbours kept while the graph is built, trees it begins from, and rows of one leaf.
-KEEP, TREES, LEAF = 10, 3, 2048
+KEEP, TREES, LEAF = 10, 4, 4096
 #: Rows the trees' split directions are fitted on; every row is then routed and searched.
 SAMPLE = 20_000
 #: Rounds of neighbours of neighbours at most; a round that changes less than this share of the lists is the last.
-ROUNDS, SETTLED = 3, 0.002
+ROUNDS, SETTLED = 3, 0.1
 #: Neighbours of each direction whose pairs a round compares.
-JOIN = 6
+JOIN = 5
 #: Copies of one vector that stand for all of them in a list; must exceed the k asked for.
 COPIES = 16
 
@@ -213,8 +213,10 @@ def nn_descent(codes: DataFrame, rows: int, dim: int, *, keep: int = KEEP, leaf:
     graph = cut(top_lists(leaf_graph(codes, dim, leaf, keep).groupBy("a", "b").agg(F.max("s").alias("s")), keep), "graph")
     if rows <= leaf:
         return graph
-    for _ in range(rounds):
-        pairs = cut(round_pairs(graph, codes).join(graph.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    for i in range(rounds):
+        found = round_pairs(graph, codes)
+        # pairs of the first graph share a leaf, so the first round's are all new
+        pairs = cut(found if i == 0 else found.join(graph.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         worst = graph.groupBy("a").agg(F.min("s").alias("_w"), F.count(F.lit(1)).alias("_n"))
         new = compare(pairs, codes, dim).join(worst, "a", "left").filter(F.col("_w").isNull() | (F.col("_n") < keep) | (F.col("s") > F.col("_w"))).select("a", "b", "s")
         new = cut(new, "new")
@@ -225,6 +227,7 @@ def nn_descent(codes: DataFrame, rows: int, dim: int, *, keep: int = KEEP, leaf:
             graph = merged
         release(pairs)
         release(new)
+        forget(codes)
         if changed <= SETTLED * rows * keep:
             break
     return graph
