@@ -285,20 +285,22 @@ def exact_cosine(pairs: DataFrame, df: DataFrame, key: str, vec: str, dim: int)
     return j.withColumn("cos", dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))).drop("va", "vb")
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dim: int, k: int, *, beam: int = 28, hops: int = 8, entries: int = 64) -> DataFrame:
+def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dim: int, k: int, *, beam: int = 32, hops: int = 4, entries: int = 32) -> DataFrame:
     """(q, b, s): the k most similar rows of each query row, by greedy search in the neighbour graph.
 
-    ``queries`` has (q, code, scale). Every query begins at the best of ``entries`` fixed rows and goes
-    on from the neighbours (both ways) of its ``beam`` best rows not yet opened, until no query finds
-    anything better or ``hops`` are done. A query itself is never among its results.
+    ``queries`` has (q, code, scale, leaves). Every query is routed to its leaf of each tree, begins at
+    ``entries`` fixed rows of each, and goes on from the neighbours (both ways) of its ``beam`` best rows
+    not yet opened, until no query finds anything new or ``hops`` are done. A query itself is never
+    among its results.
     """
     both = cut(graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("_h", F.xxhash64("a", "b")), "links")
     w = Window.partitionBy("a").orderBy("_h")
-    links = cut(both.withColumn("_r", F.row_number().over(w)).filter("_r <= 32").select("a", "b").unionByName(graph.select("a", "b")).distinct(), "links")
-    start = codes.orderBy(F.xxhash64("id")).limit(entries).select(F.col("id").alias("b"))
+    links = cut(both.withColumn("_r", F.row_number().over(w)).filter("_r <= 12").select("a", "b").unionByName(graph.select("a", "b")).distinct(), "links")
+    leaf = Window.partitionBy("t", "leaf").orderBy("_h", "b")
+    start = codes.select(F.col("id").alias("b"), F.posexplode("leaves").alias("t", "leaf")).withColumn("_h", F.xxhash64("b")).withColumn("_r", F.row_number().over(leaf)).filter(F.col("_r") <= entries).select("t", "leaf", "b")
 
     def score(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(queries, "q").join(codes.select(F.col("id").alias("b"), F.col("code").alias("c2"), F.col("scale").alias("s2")), "b")
+        j = pairs.join(queries.select("q", "code", "scale"), "q").join(codes.select(F.col("id").alias("b"), F.col("code").alias("c2"), F.col("scale").alias("s2")), "b")
 
         def work(it):
             for pdf in it:
@@ -309,8 +311,8 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dim: i
         return j.mapInPandas(work, "q long, b long, s float")
 
     wq = Window.partitionBy("q").orderBy(F.col("s").desc(), "b")
-    # stated queries against a fixed number of entry rows
-    seen = cut(score(queries.select("q").withColumn("_e", F.lit(1)).join(F.broadcast(start.withColumn("_e", F.lit(1))), "_e").select("q", "b")).withColumn("open", F.lit(False)), "seen")
+    first = queries.select("q", F.posexplode("leaves").alias("t", "leaf")).join(start, ["t", "leaf"]).select("q", "b").distinct()
+    seen = cut(score(first).withColumn("open", F.lit(False)), "seen")
     for _ in range(hops):
         best = seen.withColumn("_r", F.row_number().over(wq)).filter(F.col("_r") <= beam)
         todo = best.filter(~F.col("open")).select("q", F.col("b").alias("a"))

@@ -36,7 +36,7 @@ def p1_search(spark, d):
     codes, n = encode(table(spark, d, "sect_embedding"), "record_id", "emb", DIM, TREES, LEAF)
     reps, members = collapse(codes)
     graph = nn_descent(reps, n, DIM)
-    q = codes.filter(F.col("id") % 100 == 0).select(F.col("id").alias("q"), "code", "scale")
+    q = codes.filter(F.col("id") % 100 == 0).select(F.col("id").alias("q"), "code", "scale", "leaves")
     found = greedy_search(graph, reps, q, DIM, K + 1)
     out = expand(found.select(F.col("q").alias("a"), "b", "s"), None, K + 1)
     if members is not None:
