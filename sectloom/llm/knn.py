@@ -14,10 +14,10 @@ from sectloom.plans.runtime import cut, forget, release
 KEEP, TREES, LEAF = 10, 4, 4096
 #: Rows the trees' split directions are fitted on; every row is then routed and searched.
 SAMPLE = 20_000
-#: Rounds of neighbours of neighbours at most; a round that changes less than this share of the lists is the last.
-ROUNDS, SETTLED = 3, 0.1
+#: A round of neighbours of neighbours that changes at most this share of the lists' entries is the last.
+SETTLED = 0.002
 #: Neighbours of each direction whose pairs a round compares.
-JOIN = 5
+JOIN = 6
 #: Copies of one vector that stand for all of them in a list; must exceed the k asked for.
 COPIES = 16
 
@@ -160,14 +160,22 @@ def leaf_graph(codes: DataFrame, dim: int, leaf: int, keep: int) -> DataFrame:
     return split_leaves(codes, leaf).groupBy("t", "leaf", "part").applyInPandas(work, "a long, b long, s float")
 
 
-def round_pairs(graph: DataFrame, codes: DataFrame) -> DataFrame:
-    """(a, b): pairs of rows that share a neighbour and no leaf; a < b, without those in the graph."""
+def links_of(graph: DataFrame) -> DataFrame:
+    """(u, x): the nearest JOIN neighbours of each row in either direction."""
     near = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
     fwd = graph.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= JOIN).select(F.col("a").alias("u"), F.col("b").alias("x"))
     back = Window.partitionBy("b").orderBy(F.col("s").desc(), "a")
     rev = graph.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= JOIN).select(F.col("b").alias("u"), F.col("a").alias("x"))
-    both = fwd.unionByName(rev).distinct().join(codes.select(F.col("id").alias("x"), "leaves"), "x")
-    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves")).alias("m"))  # at most 2 * JOIN
+    return fwd.unionByName(rev).distinct()
+
+
+def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame) -> DataFrame:
+    """(a, b): pairs of rows that share a neighbour and no leaf; a < b. Pairs of which both links stood in
+    the links of the round before were compared then, and are left out."""
+    old = before.withColumn("old", F.lit(True)) if before is not None else None
+    both = links.withColumn("old", F.lit(False)) if old is None else links.join(old, ["u", "x"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
+    both = both.join(codes.select(F.col("id").alias("x"), "leaves"), "x")
+    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves", "old")).alias("m")).filter(F.exists("m", lambda r: ~r["old"]))  # at most 2 * JOIN
 
     def work(it):
         for pdf in it:
@@ -175,8 +183,9 @@ def round_pairs(graph: DataFrame, codes: DataFrame) -> DataFrame:
             for m in pdf.m:
                 x = np.array([r["x"] for r in m], np.int64)
                 l = np.array([r["leaves"] for r in m], np.int32)
+                o = np.array([r["old"] for r in m], bool)
                 i, j = np.triu_indices(len(x), 1)
-                far = ~(l[i] == l[j]).any(1)
+                far = ~(l[i] == l[j]).any(1) & ~(o[i] & o[j])
                 if far.any():
                     p, q = x[i[far]], x[j[far]]
                     out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
@@ -207,19 +216,20 @@ def compare(pairs: DataFrame, codes: DataFrame, dim: int) -> DataFrame:
     return p.groupBy("block").cogroup(sent.groupBy("to")).applyInPandas(work, "a long, b long, s float")
 
 
-def nn_descent(codes: DataFrame, rows: int, dim: int, *, keep: int = KEEP, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
+def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP, leaf: int = LEAF) -> DataFrame:
     """(a, b, s): the neighbour graph of the routed vectors, improved by rounds of neighbours of neighbours
-    until few lists change."""
+    until a round changes at most SETTLED of all entries. Lists only improve, so the rounds end."""
     graph = cut(top_lists(leaf_graph(codes, dim, leaf, keep).groupBy("a", "b").agg(F.max("s").alias("s")), keep), "graph")
+    rows = codes.count()
     if rows <= leaf:
         return graph
-    for i in range(rounds):
-        found = round_pairs(graph, codes)
-        # pairs of the first graph share a leaf, so the first round's are all new
-        pairs = cut(found if i == 0 else found.join(graph.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    before = None
+    while True:
+        links = cut(links_of(graph), "links")
+        pairs = cut(round_pairs(links, before, codes), "pairs")
         worst = graph.groupBy("a").agg(F.min("s").alias("_w"), F.count(F.lit(1)).alias("_n"))
         new = compare(pairs, codes, dim).join(worst, "a", "left").filter(F.col("_w").isNull() | (F.col("_n") < keep) | (F.col("s") > F.col("_w"))).select("a", "b", "s")
-        new = cut(new, "new")
+        new = cut(new.join(graph.select("a", "b"), ["a", "b"], "left_anti"), "new")
         changed = new.count()
         if changed:
             merged = cut(top_lists(graph.unionByName(new).groupBy("a", "b").agg(F.max("s").alias("s")), keep), "graph")
@@ -227,9 +237,13 @@ def nn_descent(codes: DataFrame, rows: int, dim: int, *, keep: int = KEEP, leaf:
             graph = merged
         release(pairs)
         release(new)
+        if before is not None:
+            release(before)
+        before = links
         forget(codes)
         if changed <= SETTLED * rows * keep:
             break
+    release(before)
     return graph
 
 
@@ -270,9 +284,9 @@ def nearest(df: DataFrame, key: str, vec: str, dim: int, k: int, *, keep: int =
     filled in afterwards, so one vector held by a third of all rows costs no more than another. Rows
     that are not usable give none; keys are whole numbers; ties go to the lesser key.
     """
-    codes, n = encode(df, key, vec, dim, trees, leaf)
+    codes, _ = encode(df, key, vec, dim, trees, leaf)
     reps, members = collapse(codes)
-    return expand(nn_descent(reps, n, dim, keep=keep, leaf=leaf), members, k)
+    return expand(nn_descent(reps, dim, keep=keep, leaf=leaf), members, k)
 
 
 def exact_cosine(pairs: DataFrame, df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:

@@ -33,9 +33,9 @@ def p1_neighbours(spark, d):
 @LLM("p1_search")
 def p1_search(spark, d):
     """The five most similar sections of every section whose id is divisible by 100, by greedy search in the graph of all."""
-    codes, n = encode(table(spark, d, "sect_embedding"), "record_id", "emb", DIM, TREES, LEAF)
+    codes, _ = encode(table(spark, d, "sect_embedding"), "record_id", "emb", DIM, TREES, LEAF)
     reps, members = collapse(codes)
-    graph = nn_descent(reps, n, DIM)
+    graph = nn_descent(reps, DIM)
     q = codes.filter(F.col("id") % 100 == 0).select(F.col("id").alias("q"), "code", "scale", "leaves")
     found = greedy_search(graph, reps, q, DIM, K + 1)
     out = expand(found.select(F.col("q").alias("a"), "b", "s"), None, K + 1)

@@ -254,6 +254,23 @@ def test_nearest_equals_brute_force(spark):
         assert np.mean([len(got[i] & want[i]) / 5 for i in want]) > (0.97 if leaf == 4096 else 0.9)
 
 
+def test_rounds_go_on_until_lists_settle(spark, monkeypatch):
+    """The last round changes at most two in a thousand entries."""
+    x = np.random.default_rng(4).normal(size=(300, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<float>")
+    changed, cut = [], knn.cut
+
+    def spy(d, label="cut"):
+        out = cut(d, label)
+        if label == "new":
+            changed.append(out.count())
+        return out
+
+    monkeypatch.setattr(knn, "cut", spy)
+    assert knn.nearest(df, "id", "emb", 8, 5, trees=2, leaf=30).count() == 1500
+    assert changed[-1] <= 0.002 * 300 * 10
+
+
 def test_copies_of_one_vector(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     data = [(i, v) for i in range(40)] + [(100 + i, [float(i), 1.0, -1.0, 0.5]) for i in range(10)]
