@@ -40,6 +40,10 @@ class Forest:
                 return -leaves
             y = x[idx]
             a, b = y[rng.choice(len(y), 2, replace=False)]
+            if (a == b).all():  # copies: draw again among the others
+                others = np.flatnonzero((y != a).any(1))
+                if len(others):
+                    b = y[rng.choice(others)]
             for _ in range(8):
                 left = y @ (a - b) > (a @ a - b @ b) / 2
                 if left.all() or not left.any():
@@ -51,6 +55,9 @@ class Forest:
             if not 0.1 <= share <= 0.9:
                 at = float(np.median(p))
             left = p > at
+            if left.all() or not left.any():  # most lie at the median
+                at = (float(p.min()) + float(p.max())) / 2
+                left = p > at
             if left.all() or not left.any():  # all alike: no split helps
                 leaves += 1
                 return -leaves
@@ -111,33 +118,50 @@ def top_lists(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
-def encode(df: DataFrame, key: str, vec: str, dim: int, trees: int, leaf: int) -> tuple[DataFrame, int]:
-    """(id, code, scale, leaves): packed vectors routed to their leaf of every tree, and their number."""
+def encode(df: DataFrame, key: str, vec: str, dim: int, trees: int, leaf: int) -> tuple[DataFrame, DataFrame | None]:
+    """(id, code, scale, leaves): distinct packed vectors routed to their leaf of every tree; and (rep, id) of
+    the copies, see :func:`collapse`. The trees are fitted on distinct vectors."""
     u = usable(df, key, vec, dim).select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"))
-    n = df.count()
+
+    def packed(it):
+        for pdf in it:
+            if len(pdf):
+                code, scale = pack(matrix(pdf.v, dim))
+                yield pd.DataFrame({"id": pdf.id, "code": code, "scale": scale})
+
+    whole = cut(u.mapInPandas(packed, "id long, code binary, scale float"), "packed")
+    reps, members = collapse(whole)
+    if members is not None:
+        release(whole)
+    n = reps.count()
     share = min(1.0, 1.3 * SAMPLE / max(1, n))
     # a sample by a hash of the key, so that it doesn't depend on how rows lie in partitions
-    picked = u.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).toPandas()
-    forest = Forest(matrix(picked.v, dim) if len(picked) else np.empty((0, dim), np.float32), n, trees, leaf)
+    picked = reps.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).toPandas()
+    forest = Forest(unpack(picked.code, picked.scale, dim) if len(picked) else np.empty((0, dim), np.float32), n, trees, leaf)
 
     def work(it):
         for pdf in it:
-            if not len(pdf):
-                continue
-            x = matrix(pdf.v, dim)
-            code, scale = pack(x)
-            yield pd.DataFrame({"id": pdf.id, "code": code, "scale": scale, "leaves": list(forest.route(x))})
+            if len(pdf):
+                yield pdf.assign(leaves=list(forest.route(unpack(pdf.code, pdf.scale, dim))))
+
+    codes = cut(reps.mapInPandas(work, "id long, code binary, scale float, leaves array<int>"), "codes")
+    release(reps)
+    return codes, members
+
 
-    return cut(u.mapInPandas(work, "id long, code binary, scale float, leaves array<int>"), "codes"), n
+def leaf_parts(codes: DataFrame, leaf: int) -> DataFrame:
+    """(t, leaf, _k): the blocks that each leaf larger than twice ``leaf`` is cut into; no more rows than the
+    trees have leaves, which SAMPLE bounds."""
+    x = codes.select(F.posexplode("leaves").alias("t", "leaf"))
+    return x.groupBy("t", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).cast("int").alias("_k")).filter("_k > 1")
 
 
 def split_leaves(codes: DataFrame, leaf: int) -> DataFrame:
-    """(id, code, scale, t, block): a row a tree; a leaf that turned out larger than twice ``leaf`` is cut
-    into blocks by a hash of the vector, so that no block grows with the data."""
+    """(id, code, scale, t, leaf, part): a row a tree; a leaf that turned out larger than twice ``leaf`` is cut
+    into blocks by a hash of the vector, another in each tree, so that no block grows with the data."""
     x = codes.select("id", "code", "scale", F.posexplode("leaves").alias("t", "leaf"))
-    size = x.groupBy("t", "leaf").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.ceil(F.col("_n") / (2 * leaf)).cast("int")).select("t", "leaf", "_k")
-    j = x.join(size, ["t", "leaf"])
-    return j.select("id", "code", "scale", "t", "leaf", F.pmod(F.hash("code"), F.col("_k")).alias("part"))
+    j = x.join(leaf_parts(codes, leaf), ["t", "leaf"], "left")
+    return j.select("id", "code", "scale", "t", "leaf", F.pmod(F.hash("code", "t"), F.coalesce("_k", F.lit(1))).alias("part"))
 
 
 def leaf_graph(codes: DataFrame, dim: int, leaf: int, keep: int) -> DataFrame:
@@ -169,13 +193,15 @@ def links_of(graph: DataFrame) -> DataFrame:
     return fwd.unionByName(rev).distinct()
 
 
-def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame) -> DataFrame:
-    """(a, b): pairs of rows that share a neighbour and no leaf; a < b. Pairs of which both links stood in
+def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame, parts: dict[tuple[int, int], int]) -> DataFrame:
+    """(a, b): pairs of rows that share a neighbour and no block of a leaf; a < b. ``parts`` has the number
+    of blocks of each leaf that was cut. Pairs of which both links stood in
     the links of the round before were compared then, and are left out."""
     old = before.withColumn("old", F.lit(True)) if before is not None else None
     both = links.withColumn("old", F.lit(False)) if old is None else links.join(old, ["u", "x"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
-    both = both.join(codes.select(F.col("id").alias("x"), "leaves"), "x")
-    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves", "old")).alias("m")).filter(F.exists("m", lambda r: ~r["old"]))  # at most 2 * JOIN
+    hashes = F.transform("leaves", lambda _, t: F.hash("code", t)) if parts else F.array().cast("array<int>")
+    both = both.join(codes.select(F.col("id").alias("x"), "leaves", hashes.alias("h")), "x")
+    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves", "h", "old")).alias("m")).filter(F.exists("m", lambda r: ~r["old"]))  # at most 2 * JOIN
 
     def work(it):
         for pdf in it:
@@ -185,7 +211,12 @@ def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame) ->
                 l = np.array([r["leaves"] for r in m], np.int32)
                 o = np.array([r["old"] for r in m], bool)
                 i, j = np.triu_indices(len(x), 1)
-                far = ~(l[i] == l[j]).any(1) & ~(o[i] & o[j])
+                same = l[i] == l[j]
+                if parts:
+                    k = np.array([[parts.get((t, v), 1) for t, v in enumerate(r)] for r in l.tolist()], np.int64)
+                    part = np.array([r["h"] for r in m], np.int64) % k
+                    same &= part[i] == part[j]
+                far = ~same.any(1) & ~(o[i] & o[j])
                 if far.any():
                     p, q = x[i[far]], x[j[far]]
                     out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
@@ -223,10 +254,11 @@ def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP, leaf: int = LEAF
     rows = codes.count()
     if rows <= leaf:
         return graph
+    parts = {(r.t, r.leaf): r["_k"] for r in leaf_parts(codes, leaf).collect()}
     before = None
     while True:
         links = cut(links_of(graph), "links")
-        pairs = cut(round_pairs(links, before, codes), "pairs")
+        pairs = cut(round_pairs(links, before, codes, parts), "pairs")
         worst = graph.groupBy("a").agg(F.min("s").alias("_w"), F.count(F.lit(1)).alias("_n"))
         new = compare(pairs, codes, dim).join(worst, "a", "left").filter(F.col("_w").isNull() | (F.col("_n") < keep) | (F.col("s") > F.col("_w"))).select("a", "b", "s")
         new = cut(new.join(graph.select("a", "b"), ["a", "b"], "left_anti"), "new")
@@ -280,12 +312,11 @@ def nearest(df: DataFrame, key: str, vec: str, dim: int, k: int, *, keep: int =
 
     Vectors of 8 bits a number are routed through trees of two-means splits (fitted on at most SAMPLE
     rows), all pairs of a leaf are compared, and rounds of NN-descent compare neighbours of
-    neighbours that share no leaf. s is exact to about 0.002. Sets of copies are searched once and
+    neighbours that were in no block of a leaf together. s is exact to about 0.002. Sets of copies are searched once and
     filled in afterwards, so one vector held by a third of all rows costs no more than another. Rows
     that are not usable give none; keys are whole numbers; ties go to the lesser key.
     """
-    codes, _ = encode(df, key, vec, dim, trees, leaf)
-    reps, members = collapse(codes)
+    reps, members = encode(df, key, vec, dim, trees, leaf)
     return expand(nn_descent(reps, dim, keep=keep, leaf=leaf), members, k)
 
 

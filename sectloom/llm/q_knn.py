@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sectloom.llm.base import LLM
-from sectloom.llm.knn import LEAF, TREES, collapse, encode, exact_cosine, expand, greedy_search, nearest, nn_descent
+from sectloom.llm.knn import LEAF, TREES, encode, exact_cosine, expand, greedy_search, nearest, nn_descent
 from sectloom.plans.runtime import cut, table
 
 DIM, K, MIN_COS = 256, 5, 0.75
@@ -33,14 +33,13 @@ def p1_neighbours(spark, d):
 @LLM("p1_search")
 def p1_search(spark, d):
     """The five most similar sections of every section whose id is divisible by 100, by greedy search in the graph of all."""
-    codes, _ = encode(table(spark, d, "sect_embedding"), "record_id", "emb", DIM, TREES, LEAF)
-    reps, members = collapse(codes)
+    reps, members = encode(table(spark, d, "sect_embedding"), "record_id", "emb", DIM, TREES, LEAF)
     graph = nn_descent(reps, DIM)
-    q = codes.filter(F.col("id") % 100 == 0).select(F.col("id").alias("q"), "code", "scale", "leaves")
+    asked = reps.select("id") if members is None else reps.select("id").unionByName(members.select("id"))
+    asked = asked.filter(F.col("id") % 100 == 0).distinct()
+    if members is not None:  # a copy is searched for by its representative
+        asked = asked.join(members, "id", "left").select(F.coalesce("rep", "id").alias("id")).distinct()
+    q = reps.join(asked, "id", "left_semi").select(F.col("id").alias("q"), "code", "scale", "leaves")
     found = greedy_search(graph, reps, q, DIM, K + 1)
-    out = expand(found.select(F.col("q").alias("a"), "b", "s"), None, K + 1)
-    if members is not None:
-        few = members.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("id") % 1 == 0, F.col("id")))), 1, K + 1).alias("ids"))
-        out = out.join(few, out.b == few.rep, "left").select("a", F.explode(F.coalesce("ids", F.array("b"))).alias("b"), "s").filter("a != b")
-        out = expand(out, None, K)
-    return expand(out, None, K).select(F.col("a").alias("record_id"), F.col("b").alias("neighbour"), F.round(F.col("s").cast("double"), 3).alias("cosine"))
+    out = expand(found.select(F.col("q").alias("a"), "b", "s"), members, K).filter(F.col("a") % 100 == 0)
+    return out.select(F.col("a").alias("record_id"), F.col("b").alias("neighbour"), F.round(F.col("s").cast("double"), 3).alias("cosine"))

@@ -271,6 +271,28 @@ def test_rounds_go_on_until_lists_settle(spark, monkeypatch):
     assert changed[-1] <= 0.002 * 300 * 10
 
 
+def test_trees_split_although_most_rows_are_copies():
+    x = np.random.default_rng(0).normal(size=(400, 8)).astype(np.float32)
+    x[:360] = x[0]
+    f = knn.Forest(x, 400, 8, 50)
+    assert all(len(np.unique(f.route(x)[:, t])) > 1 for t in range(8))
+
+
+def test_pairs_of_a_leaf_cut_into_blocks_are_compared(spark):
+    """All rows lie in one leaf, which is cut; what the blocks separate is found by the rounds."""
+    _, x = _vectors()
+    code, scale = knn.pack(x / np.linalg.norm(x, axis=1, keepdims=True))
+    codes = spark.createDataFrame([(i, bytearray(c), float(s), [0, 0]) for i, (c, s) in enumerate(zip(code, scale))], "id long, code binary, scale float, leaves array<int>")
+    parts = {(r.t, r.leaf): r["_k"] for r in knn.leaf_parts(codes, 20).collect()}
+    assert parts == {(0, 0): 8, (1, 0): 8}
+    block = {}
+    for r in knn.split_leaves(codes, 20).collect():
+        block.setdefault(r.id, {})[r.t] = r.part
+    links = spark.createDataFrame([(0, i) for i in range(1, 9)], "u long, x long")
+    want = {(i, j) for i in range(1, 9) for j in range(i + 1, 9) if all(block[i][t] != block[j][t] for t in (0, 1))}
+    assert want and set(rows(knn.round_pairs(links, None, codes, parts))) == want
+
+
 def test_copies_of_one_vector(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     data = [(i, v) for i in range(40)] + [(100 + i, [float(i), 1.0, -1.0, 0.5]) for i in range(10)]
