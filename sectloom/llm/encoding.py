@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
@@ -100,25 +101,30 @@ def runs(text: str):
 
 
 def train(docs: DataFrame, text: str) -> tuple[dict[tuple[str, str, str], int], int]:
-    """Number of documents that show each character in each context, over all documents, and their
-    number; null and plain ASCII texts count nothing."""
+    """Number of distinct texts that show each character in each context, over all documents, and their
+    number; null and plain ASCII texts count nothing. Only the non-ASCII runs are shuffled."""
+
+    def shown(it):
+        for pdf in it:
+            pdf = pdf[[not x.isascii() for x in pdf._x]]
+            yield pd.DataFrame({"h": pdf.h, "runs": [json.dumps(sorted({r[1:] for r in runs(x)})) for x in pdf._x]})
 
     def count(it):
         c: Counter = Counter()
         n = 0
         for pdf in it:
-            for x in pdf._x:
-                if x.isascii():
-                    continue
+            for x in pdf.runs:
                 n += 1
                 seen = set()
-                for key in {r[1:] for r in runs(x)}:
+                for key in json.loads(x):
                     seen.update(contexts(*key))
                 c.update(seen)
         c["", "", ""] = n
         yield pd.DataFrame([(*k, v) for k, v in c.items()], columns=["a", "c", "b", "n"])
 
-    got = docs.select(F.col(text).alias("_x")).filter(F.length("_x") > 0).mapInPandas(count, "a string, c string, b string, n long").groupBy("a", "c", "b").agg(F.sum("n").alias("n"))
+    src = docs.select(F.col(text).alias("_x"), F.xxhash64(text).alias("h")).filter(F.length("_x") > 0)
+    once = src.mapInPandas(shown, "h long, runs string").dropDuplicates(["h"])
+    got = once.mapInPandas(count, "a string, c string, b string, n long").groupBy("a", "c", "b").agg(F.sum("n").alias("n"))
     rows = got.limit(MAX_CONTEXTS + 1).collect()
     if len(rows) > MAX_CONTEXTS:
         raise ValueError("the character model exceeds MAX_CONTEXTS")
@@ -214,7 +220,7 @@ class Labeller:
 def garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, encoding, n_runs, restored) of every row whose text holds a garbled passage.
 
-    The model's clean state is trained on all rows: in how many texts each non-ASCII character stands
+    The model's clean state is trained on all rows: in how many distinct texts each non-ASCII character stands
     in each context. Each garbled state is a pair of encodings; it explains a run of characters by
     how usual the run is once the pair is undone. Spans labelled with a state get its inverse
     transform; characters lost to U+FFFD stay, as they cannot be known. Null and empty texts, plain

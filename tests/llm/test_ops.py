@@ -192,6 +192,14 @@ def test_garbled_texts_are_restored(spark):
     assert all(got[k] == bad[k] for k in bad)
 
 
+def test_a_garbled_text_copied_into_most_rows_is_restored(spark):
+    clean = ["Das Mädchen", "El niño", "café", "été", "überprüft"]
+    bad = "Das Mädchen".encode().decode("cp1252")
+    texts = [(i, f"{clean[i % 5]} {i}") for i in range(200)] + [(1000 + i, bad) for i in range(300)]
+    got = {r.id: r.restored for r in encoding.garbled(spark.createDataFrame(texts, "id long, text string"), "id", "text").collect()}
+    assert got == {1000 + i: "Das Mädchen" for i in range(300)}
+
+
 # p5 -------------------------------------------------------------------------
 @pytest.mark.parametrize("t", ["p < 0.05 and q > 0.2", "costs $40 per node and $55 per", "file a_b_c to d_e", "see [12] for 2*3*4", "KX-204B -> KX-207 and R&D", "x^2 + y_1 = 4", "a < b and c > d", "- 60 -", "Ranks #1 to #5", "Q&A", "5 % of it; {p, q} | r", "", None])
 def test_no_markup(t):
