@@ -43,7 +43,7 @@ _CAPS = re.compile(r"(?=(?:[^\W\d_a-z]*[A-Z][^a-z]*){8})[A-Z][^a-z\n|{}\[\]<>=#*
 
 
 #: Every line of furniture matches this: a number at an end, a dot between, a chapter, a volume, or no small letters.
-_CANDIDATE = re.compile(r"^[\[|\-–—]?\s*\d|\d\s*[\]|\-–—)]?$|[•·]|^(?:ch|p|page|seite|chap)\b|\bvol\b|^(?-i:[^a-z]+)$", re.I)
+_CANDIDATE = re.compile(r"^[\[|\-–—]?\s*\d|\d\s*[\]|\-–—)]?$|[•·]|^(?:ch|p|page|seite|chap|chapter)\b|\bvol\b|^(?-i:[^a-z]+)$", re.I)
 
 
 def header_shape(line: str) -> bool:

@@ -236,6 +236,16 @@ def test_scan_noise(spark):
     assert r.repaired == "the figure shows a token and the cluster of letters in every margin"
 
 
+@pytest.mark.parametrize("t", [
+    "[ 12 ]", "- 12 -", "p. 12", "pp 12", "pg. 12", "Page 3 of 9", "Seite 3 von 9", "12", "| 12 |", "12   Methods of the survey", "Methods of the survey | 12",
+    "A. Writer • Methods of the survey", "A. Writer · Methods of the survey", "Ch. 5. Methods of the survey", "Chap. 5: Methods of the survey", "Chapter 3. Methods of the survey",
+    "Journal of Methods, vol. 12 (3), no. 4", "METHODS OF THE SURVEY",
+])
+def test_every_form_of_furniture_passes_the_prefilter(t):
+    assert scans._PAGE.fullmatch(t) or scans._NUMBERED.fullmatch(t) or scans.header_shape(t)
+    assert scans._CANDIDATE.search(t)
+
+
 # p1, p2 ---------------------------------------------------------------------
 def _vectors(seed=0):
     g = np.random.default_rng(seed)
