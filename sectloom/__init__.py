@@ -1,3 +1,3 @@
-"""sectloom: retrieval-graph analytics over document sections, as Spark DataFrame operators."""
+"""sectloom: section analytics over document sections, as Spark DataFrame operators."""
 
 __version__ = "0.1.0"

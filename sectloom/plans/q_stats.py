@@ -15,11 +15,18 @@ from sectloom.plans.runtime import cut, table
 from sectloom.plans.sqlparts import EDGES, MENTIONS, POST, tokens
 
 
-@CORE("a01_boxcox_power", sql="""WITH x AS (SELECT source AS g, CAST(length(text) AS DOUBLE) AS x FROM documents WHERE length(text) > 0 AND source IS NOT NULL), l AS (SELECT unnest(range(-300, 301, 25)) / 100.0 AS lam),
-t AS (SELECT g, lam, count(*) AS n, sum(ln(x)) AS sl, var_pop(CASE WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END) AS v FROM x, l GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round((lam - 1) * sl - n / 2 * ln(greatest(v, 1e-300)), 6) DESC, abs(lam - 1), lam) AS r FROM t) SELECT g AS source, CAST(lam AS DOUBLE) AS lam, n FROM r WHERE r = 1 AND n >= 20""")
+def boxcox_sql(x: str) -> str:
+    """Tables bc0, bc1, bc2 (g, lam) of the best power on ever finer grids, from a table ``x`` (g, x)."""
+    out = []
+    for i, grid in enumerate(("SELECT g, x, lam FROM {x}, (SELECT unnest(range(-300, 301, 25)) / 100.0 AS lam)", "SELECT g, x, round(lam + i * 0.025, 4) AS lam FROM {x} JOIN bc0 USING (g), (SELECT unnest(range(-10, 11)) AS i)", "SELECT g, x, round(lam + i * 0.0025, 4) AS lam FROM {x} JOIN bc1 USING (g), (SELECT unnest(range(-10, 11)) AS i)")):
+        out.append(f"""bc{i} AS (SELECT g, lam FROM (SELECT g, CAST(lam AS DOUBLE) AS lam, row_number() OVER (PARTITION BY g ORDER BY round((lam - 1) * sl - n / 2 * ln(greatest(v, 1e-300)), 6) DESC, abs(lam - 1), lam) AS r
+FROM (SELECT g, lam, count(*) AS n, sum(ln(x)) AS sl, var_pop(CASE WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END) AS v FROM ({grid.format(x=x)}) GROUP BY ALL)) WHERE r = 1)""")
+    return ", ".join(out)
+
+
+@CORE("a01_boxcox_power", sql="WITH x AS (SELECT source AS g, CAST(length(text) AS DOUBLE) AS x FROM documents WHERE length(text) > 0 AND source IS NOT NULL), " + boxcox_sql("x") + ", c AS (SELECT g, count(*) AS n FROM x GROUP BY g) SELECT g AS source, lam, n FROM bc2 JOIN c USING (g) WHERE n >= 20")
 def a01(spark, d):
-    """Box-Cox power of document lengths by source, from a fixed grid, for sources of at least 20 documents."""
+    """Box-Cox power of document lengths by source, by likelihood, for sources of at least 20 documents."""
     x = table(spark, d, "documents").filter("length(text) > 0 AND source IS NOT NULL").select(F.col("source").alias("g"), F.length("text").cast("double").alias("x"))
     n = x.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     return boxcox.powers(x, "g").join(n, "g").filter("n >= 20").select(F.col("g").alias("source"), "lam", "n")
@@ -225,16 +232,45 @@ def a21(spark, d):
     return A.stratified(_strata(spark, d))
 
 
-@CORE("a22_ppr_bounds")
+_LCH = "(lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1))"
+
+
+def _lch(a: str, b: str) -> str:
+    return _LCH.format(a=a, b=b)
+
+
+def _kept(k: str) -> str:
+    return f"{_lch('t', k)} + {_lch('(pop - t)', f'(n - {k})')} > ln(0.05 / (2 * (SELECT count(DISTINCT cid) FROM st)) / (n + 1)) + {_lch('pop', 'n')}"
+
+
+_BOUNDS = "lo AS (SELECT cid, n, min(t) AS low FROM (SELECT *, unnest(range(yes, pop - n + yes + 1)) AS t FROM {st}) WHERE " + _kept("yes") + " GROUP BY cid, n), hi AS (SELECT cid, n, max(t) AS high FROM (SELECT *, unnest(range(yes + unsure, pop - n + yes + unsure + 1)) AS t FROM {st}) WHERE " + _kept("(yes + unsure)") + " GROUP BY cid, n)"
+
+
+@CORE("a22_ppr_bounds", sql=_STRATA + ", " + _BOUNDS.format(st="st") + " SELECT cid, low, high FROM lo JOIN hi USING (cid, n)")
 def a22(spark, d):
     """Hypergeometric confidence bounds of every stratum."""
     return A.sequential(_strata(spark, d), 0.05)
 
 
-@CORE("a23_sequential_total")
+_LOOKS = _STRATA + """, lk AS (SELECT unnest([1, 2, 3]) AS look), sl AS (SELECT cid, look, any_value(pop) AS pop, count(*) AS n, CAST(sum(CASE WHEN yes = 1 THEN 1 ELSE 0 END) AS BIGINT) AS yes, CAST(sum(CASE WHEN yes = 0 AND near = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unsure
+FROM (SELECT dr.cid, look, st.pop, coalesce(lab.yes, -1) AS yes, lab.near FROM dr JOIN st USING (cid) LEFT JOIN lab USING (doc_id), lk WHERE draw <= CAST(ceil(st.n * look / 3.0) AS BIGINT)) GROUP BY cid, look) """
+
+
+def _looks(spark, d):
+    """The strata as they stand after a third, two thirds and all of the draws."""
+    papers, terms = _papers(spark, d)
+    st = _strata(spark, d).select("cid", "pop", F.col("n").alias("all"))
+    per = st.withColumn("look", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)]))).withColumn("take", F.ceil(F.col("all") * F.col("look") / 3.0))
+    lab = terms.groupBy("doc_id").agg(F.max(F.when(F.col("term") == "cluster", 1).otherwise(0)).alias("y"), F.max(F.when(F.col("term") == "clusters", 1).otherwise(0)).alias("u"))
+    w = Window.partitionBy("cid").orderBy(F.md5(F.concat(F.lit("s1"), "doc_id")), "doc_id")
+    drawn = papers.withColumn("draw", F.row_number().over(w)).join(per, "cid").filter("draw <= take").join(lab, "doc_id", "left")
+    return drawn.groupBy("cid", "look", "pop").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("yes"), F.sum(F.when((F.col("y") == 0) & (F.col("u") == 1), 1).otherwise(0)).alias("unsure"))
+
+
+@CORE("a23_sequential_total", sql=_LOOKS + ", " + _BOUNDS.format(st="sl") + ", bb AS (SELECT cid, max(low) AS low, min(high) AS high FROM lo JOIN hi USING (cid, n) GROUP BY cid) SELECT CAST(sum(low) AS BIGINT) AS low, CAST(sum(high) AS BIGINT) AS high FROM bb")
 def a23(spark, d):
-    """Sequentially valid bounds of the total."""
-    return A.sequential(_strata(spark, d), 0.05).agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    """Bounds of the total that hold at every look: each stratum's bounds are intersected over three looks."""
+    return A.sequential(cut(_looks(spark, d), "looks"), 0.05).agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
 
 
 @CORE("a24_lexical_routing", sql=_SIG + f", q AS (SELECT DISTINCT item_id, unnest({tokens('text')}) AS term FROM eval_item), h AS (SELECT item_id, cid, round(sum(z), 6) AS score FROM q JOIN sg USING (term) WHERE rank <= 100 GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY score DESC) AS rank FROM h) SELECT item_id, cid, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
@@ -254,33 +290,49 @@ def a25(spark, d):
     return A.draw(papers, papers.select("cid").distinct().withColumn("take", F.lit(3)), "s1")
 
 
-@CORE("a26_allocation")
+_EVEN = """SELECT *, CASE WHEN full_ THEN room ELSE CAST(floor(left_ / k_) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY full_, cid) <= left_ - floor(left_ / k_) * k_ THEN 1 ELSE 0 END END AS got FROM (SELECT *, amt - sum(CASE WHEN full_ THEN room ELSE 0 END) OVER () AS left_, greatest(1, sum(CASE WHEN full_ THEN 0 ELSE 1 END) OVER ()) AS k_
+FROM (SELECT *, below + room * open_ <= amt AS full_ FROM (SELECT *, sum(room) OVER (ORDER BY room, cid) - room AS below, count(*) OVER () - row_number() OVER (ORDER BY room, cid) + 1 AS open_, least(want, sum(room) OVER ()) AS amt FROM ({x}))))"""
+_ALLOC = _STRATA + ", w0 AS (SELECT cid, pop AS room, pop * sqrt(((yes + 0.5) / (n + 1)) * (1 - (yes + 0.5) / (n + 1))) AS w FROM st), u AS (SELECT cid, got AS uniform FROM (" + _EVEN.format(x="SELECT cid, room, 100 AS want FROM w0") + ")), b AS (SELECT cid, got AS base FROM (" + _EVEN.format(x="SELECT cid, room, CAST(floor(least(100, sum(room) OVER ()) * 0.2) AS BIGINT) AS want FROM w0") + """)),
+c AS (SELECT cid, base, room - base AS cap, w, least(100, sum(room) OVER ()) - sum(base) OVER () AS rest FROM w0 JOIN b USING (cid)), f AS (SELECT *, sum(cap) OVER (ORDER BY cap / w, cid) - cap + cap / w * sum(w) OVER (ORDER BY cap / w, cid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= rest AS full_ FROM c),
+g AS (SELECT *, rest - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER () AS left_, sum(CASE WHEN full_ THEN 0 ELSE w END) OVER () AS open_ FROM f), h AS (SELECT *, CASE WHEN full_ THEN CAST(cap AS DOUBLE) ELSE round(left_ * w / open_, 9) END AS x FROM g), i AS (SELECT *, rest - sum(floor(x)) OVER () AS short, row_number() OVER (ORDER BY x - floor(x) DESC, cid) AS turn FROM h)
+SELECT cid, CAST(uniform AS BIGINT) AS uniform, CAST(base + floor(x) + CASE WHEN turn <= short THEN 1 ELSE 0 END AS BIGINT) AS neyman FROM i JOIN u USING (cid)"""
+
+
+def _spread_of(st):
+    """Strata with their Neyman weight: papers times the standard deviation of a yes."""
+    p = (F.col("yes") + 0.5) / (F.col("n") + 1)
+    return st.withColumn("weight", F.col("pop") * F.sqrt(p * (1 - p)))
+
+
+@CORE("a26_allocation", sql=_ALLOC)
 def a26(spark, d):
-    """A draw budget of 100 papers given out evenly and by Neyman weights; there is one row a community."""
-    st = _strata(spark, d).orderBy("cid").collect()
-    room = {r.cid: r.pop for r in st}
-    sd = {r.cid: r.pop * (((r.yes + 0.5) / (r.n + 1)) * (1 - (r.yes + 0.5) / (r.n + 1))) ** 0.5 for r in st}
-    u, n = A.spread(room, 100), A.neyman(room, sd, 100, 0.2)
-    return spark.createDataFrame([(c, u[c], n[c]) for c in room], "cid int, uniform long, neyman long")
+    """A draw budget of 100 papers given out evenly and by Neyman weights."""
+    st = _spread_of(_strata(spark, d))
+    return A.by_weight(A.evenly(st, "pop", 100, "uniform"), "pop", "weight", 100, 0.2, "neyman").select("cid", "uniform", "neyman")
 
 
 @CORE("a27_semantic_tally")
 def a27(spark, d):
-    """Estimates of a tally after a pilot and after reallocation: two looks of the sampling loop."""
+    """Estimates of a tally look by look: a pilot of three papers a community, then draws by Neyman weights, until the
+    half-width is at most a twentieth of all papers or half of them have been read. Labels already given are kept."""
     papers, terms = _papers(spark, d)
     lab = terms.groupBy("doc_id").agg(F.max(F.when(F.col("term") == "graph", 1).otherwise(0)).alias("y"))
-    size = {r.cid: r.pop for r in papers.groupBy("cid").agg(F.count(F.lit(1)).alias("pop")).collect()}
-    take, out = A.spread(size, 3 * len(size)), None
-    for look in (1, 2):
-        per = spark.createDataFrame(list(take.items()), "cid int, take int")
-        j = A.draw(papers, per, "s2").join(lab, "doc_id", "left").groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("y", F.lit(0))).alias("yes")).withColumn("unsure", F.lit(0))
-        st = cut(j.join(spark.createDataFrame(list(size.items()), "cid int, pop long"), "cid"), "look")
-        e = A.stratified(st).withColumn("look", F.lit(look))
+    order = Window.partitionBy("cid").orderBy(F.md5(F.concat(F.lit("s2"), "doc_id")), "doc_id")
+    queue = cut(papers.withColumn("draw", F.row_number().over(order)).join(lab, "doc_id", "left").select("cid", "draw", F.coalesce("y", F.lit(0)).alias("y")), "queue")
+    size = cut(papers.groupBy("cid").agg(F.count(F.lit(1)).alias("pop")), "size")
+    total = papers.count()
+    take, out, look = cut(size.select("cid", "pop", F.least(F.lit(3), "pop").cast("long").alias("take")), "take"), None, 0
+    while True:
+        look += 1
+        st = queue.join(take, "cid").filter("draw <= take").groupBy("cid", "pop", "take").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("yes")).withColumn("unsure", F.lit(0))
+        st = cut(st, "look")
+        e = cut(A.stratified(st).select(F.lit(look).alias("look"), "*"), "estimate")
         out = e if out is None else out.unionByName(e)
-        sd = {r.cid: r.pop * (((r.yes + 0.5) / (r.n + 1)) * (1 - (r.yes + 0.5) / (r.n + 1))) ** 0.5 for r in st.collect()}
-        more = A.neyman({c: size[c] - take.get(c, 0) for c in sd}, sd, 60, 0.2)
-        take = {c: take.get(c, 0) + more.get(c, 0) for c in size}
-    return out
+        row, used = e.first(), st.agg(F.sum("n")).first()[0]
+        if row is None or row.estimate is None or (row.high - row.low) / 2 <= total / 20 or used >= total // 2:
+            return out
+        more = A.by_weight(_spread_of(st).withColumn("room", F.col("pop") - F.col("take")), "room", "weight", max(1, min(total // 10, total // 2 - used)), 0.2, "more")
+        take = cut(more.select("cid", "pop", (F.col("take") + F.col("more")).alias("take")), "take")
 
 
 @CORE("a29_second_order_terms")

@@ -59,7 +59,14 @@ def test_boxcox_power(spark):
     rnd = random.Random(1)
     x = spark.createDataFrame([("log", math.exp(rnd.gauss(0, 1))) for _ in range(400)] + [("lin", 50 + rnd.gauss(0, 1) ) for _ in range(400)], "g string, x double")
     p = {r.g: r.lam for r in boxcox.powers(x, "g").collect()}
-    assert abs(p["log"]) <= 0.25
+    assert abs(p["log"]) <= 0.15
+    v = [r.x for r in x.filter("g = 'log'").collect()]
+
+    def llf(l):
+        t = np.log(v) if abs(l) < 1e-9 else (np.power(v, l) - 1) / l
+        return (l - 1) * np.log(v).sum() - len(v) / 2 * math.log(t.var())
+
+    assert llf(p["log"]) >= max(llf(l / 200) for l in range(-200, 201)) - 1e-4
 
 
 def test_windows_conserve(spark):
@@ -155,12 +162,33 @@ def test_acronyms_and_matches(spark):
     assert [tuple(r) for r in entities.match_inventory(d, "id", "t", inv, "s").collect()] == [(1, "latent semantic analysis", 1)]
 
 
-def test_allocation():
-    assert A.spread({1: 5, 2: 1, 3: 9}, 9) == {1: 4, 2: 1, 3: 4}
-    got = A.neyman({1: 50, 2: 50, 3: 2}, {1: 3.0, 2: 1.0, 3: 9.0}, 20, 0.2)
-    assert sum(got.values()) == 20 and got[3] == 2 and got[1] > got[2]
-    lo, hi = A.ppr_bounds(100, 20, 5, 0.05)
-    assert lo <= 25 <= hi and A.ppr_bounds(10, 10, 4, 0.05) == (4, 4)
+def _filled(room, amount):
+    """Units one at a time, each to the emptiest open stratum."""
+    got = dict.fromkeys(room, 0)
+    for _ in range(min(amount, sum(room.values()))):
+        c = min((c for c in room if got[c] < room[c]), key=lambda c: (got[c], c))
+        got[c] += 1
+    return got
+
+
+def test_allocation(spark):
+    rnd = random.Random(4)
+    for _ in range(4):
+        room = {c: rnd.randrange(0, 30) for c in range(6)}
+        amount = rnd.randrange(0, 120)
+        st = spark.createDataFrame([(c, r, rnd.random() * 5) for c, r in room.items()], "cid int, room long, w double")
+        assert {r.cid: r.n for r in A.evenly(st, "room", amount, "n").collect()} == _filled(room, amount)
+        got = A.by_weight(st, "room", "w", amount, 0.2, "n").collect()
+        assert sum(r.n for r in got) == min(amount, sum(room.values())) and all(0 <= r.n <= r.room for r in got)
+    st = spark.createDataFrame([(1, 50, 3.0), (2, 50, 1.0), (3, 2, 9.0), (4, 9, 0.0)], "cid int, room long, w double")
+    got = {r.cid: r.n for r in A.by_weight(st, "room", "w", 20, 0.2, "n").collect()}
+    assert got == {1: 12, 2: 5, 3: 2, 4: 1}
+    assert sum(r.n for r in A.by_weight(st, "room", "w", 110, 0.0, "n").collect()) == 110
+    lo, hi = A.kept_totals(100, 20, 5, 0.05)
+    assert lo <= 25 <= hi and A.kept_totals(10, 10, 4, 0.05) == (4, 4) and A.kept_totals(7, 0, 0, 0.05) == (0, 7)
+    for big, n, k in ((40, 13, 0), (40, 13, 13), (57, 20, 7)):
+        ok = [t for t in range(k, big - n + k + 1) if (n + 1) * math.comb(t, k) * math.comb(big - t, n - k) / math.comb(big, n) > 0.05]
+        assert A.kept_totals(big, n, k, 0.05) == (ok[0], ok[-1])
 
 
 def test_estimate_of_a_census(spark):
