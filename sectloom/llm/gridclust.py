@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from sectloom.llm.vectors import matrix, sum_matrices, usable
 from sectloom.plans.runtime import cut, release
 
-#: Most feature axes; the fourth-moment table has about MAX_AXES**4 / 4 entries.
-MAX_AXES = 48
+#: Records from which the rotation's first guess comes; it is then improved over all records until it stands still.
+SAMPLE = 20_000
+#: The rotation stands still when a pass over all records raises its score by less than this share.
+STILL = 1e-6
 #: A cell is dense if it holds this share of the mean number of records per axis, and this many records at least.
 DENSE_SHARE, DENSE_LEAST = 0.05, 3
 #: A record clearly belongs to a cluster if its main feature exceeds the cell width, and its second this share of the main one at most.
@@ -35,42 +37,54 @@ def signal_axes(gram: np.ndarray, n: int) -> np.ndarray:
         if new == k:
             break
         k = new
-    return vec[:, : max(1, min(k, MAX_AXES, d))]
-
-
-def rotation(fourth: np.ndarray, k: int) -> np.ndarray:
-    """Orthogonal rotation (columns) that makes features as peaked as can be: the fixed point of w <- E[y (w'y)^3],
-    all axes at once, from fourth moments over all records; of several starts the best."""
-    iu = np.triu_indices(k)
-    twice = np.where(iu[0] == iu[1], 1.0, 2.0)
-
-    def step(w: np.ndarray) -> tuple[np.ndarray, float]:
-        q = (w[iu[0]] * w[iu[1]]) * twice[:, None]
-        h = fourth @ q
-        g = np.empty_like(w)
-        for j in range(k):
-            m = np.zeros((k, k))
-            m[iu] = h[:, j]
-            m = m + np.triu(m, 1).T
-            g[:, j] = m @ w[:, j]
-        return g, float((q * h).sum())
+    return vec[:, : max(1, min(k, d))]
 
+
+def turned(pull: np.ndarray) -> np.ndarray:
+    """The orthogonal matrix nearest ``pull``."""
+    u, _, vt = np.linalg.svd(pull)
+    return u @ vt
+
+
+def first_rotation(y: np.ndarray) -> np.ndarray:
+    """A rotation (columns) that makes the features of some records peaked: the fixed point of w <- E[y (w'y)^3],
+    all axes at once; of several starts the best."""
+    k = y.shape[1]
     best, top = np.eye(k), -np.inf
     for seed in range(6):
         w = np.eye(k) if seed == 0 else np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
         last = -np.inf
-        for _ in range(200):
-            g, score = step(w)
-            u, _, vt = np.linalg.svd(g)
-            w = u @ vt
-            if score - last <= 1e-7 * abs(score):
+        while True:
+            p = y @ w
+            score = float((p**4).sum())
+            if score - last <= STILL * abs(score):
                 break
-            last = score
+            last, w = score, turned(y.T @ p**3)
         if score > top:
             best, top = w, score
     return best
 
 
+def rotation(y: DataFrame, key: str, n: int, k: int) -> np.ndarray:
+    """The same fixed point over all records: passes of one k x k sum each, from the guess of a sample by a hash of
+    the key, until the score stands still. Scores only rise, so the passes end."""
+    share = min(1.0, 1.3 * SAMPLE / max(1, n))
+    some = y.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).select("y").toPandas()
+    w = first_rotation(np.stack(some.y.values).astype(np.float64)) if len(some) else np.eye(k)
+    last = -np.inf
+    while True:
+
+        def pull(pdf: pd.DataFrame) -> np.ndarray:
+            m = np.stack(pdf.y.values).astype(np.float64)
+            return m.T @ (m @ w) ** 3
+
+        g, _ = sum_matrices(y.select("y"), pull, k)
+        score = float((g * w).sum())
+        if score - last <= STILL * abs(score):
+            return w
+        last, w = score, turned(g)
+
+
 def features(df: DataFrame, key: str, vec: str, dim: int) -> tuple[DataFrame, int]:
     """(key, y): features of every usable vector on rotated signal axes, and the number of axes. All
     moments are taken over all records."""
@@ -90,15 +104,7 @@ def features(df: DataFrame, key: str, vec: str, dim: int) -> tuple[DataFrame, in
             yield pd.DataFrame({key: pdf[key], "y": list(matrix(pdf[vec], dim) @ axes)})
 
     y = cut(u.mapInPandas(project, f"{key} {kt}, y array<float>"), "axes")
-    iu = np.triu_indices(k)
-
-    def moments(pdf: pd.DataFrame) -> np.ndarray:
-        m = np.stack(pdf.y.values).astype(np.float64)
-        p = m[:, iu[0]] * m[:, iu[1]]
-        return p.T @ p
-
-    f, _ = sum_matrices(y.select("y"), moments, len(iu[0]))
-    w = rotation(f, k)
+    w = rotation(y, key, n, k)
 
     def third(pdf: pd.DataFrame) -> np.ndarray:
         return ((np.stack(pdf.y.values).astype(np.float64) @ w) ** 3).sum(0, keepdims=True)

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Partial sums that are added up together.
+FAN = 512
+
+
 def usable(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     """(key, vec) of rows whose vector has ``dim`` finite numbers, not all zero; keys delivered more than
     once count once (the least of their vectors). Null keys and null vectors are left out.
@@ -35,8 +39,9 @@ def matrix(col: pd.Series, dim: int) -> np.ndarray:
 def sum_matrices(df: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], rows: int) -> tuple[np.ndarray, int]:
     """Sum over all batches of the matrix that ``part`` makes of a batch, and the number of rows.
 
-    Each task adds up its batches and emits its matrix by rows; rows are added in parallel, and only
-    the sum, whose size does not depend on the data, comes to the driver.
+    Each task adds up its batches and emits its matrix by rows; rows are added in parallel, in two steps, so
+    that no group holds a row of every task, and only the sum, whose size does not depend on the data,
+    comes to the driver.
     """
 
     def partial(it):
@@ -52,7 +57,12 @@ def sum_matrices(df: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], rows
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [pdf.i.iloc[0]], "v": [np.sum(np.stack(pdf.v.values), axis=0)]})
 
-    got = df.mapInPandas(partial, "i int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>").collect()
+    cols = "i int, v array<double>"
+    part_ = df.mapInPandas(partial, cols)
+    tasks = df.rdd.getNumPartitions()
+    if tasks > FAN:
+        part_ = part_.withColumn("p", F.floor(F.spark_partition_id() / FAN)).groupBy("i", "p").applyInPandas(add, cols)
+    got = part_.groupBy("i").applyInPandas(add, cols).collect()
     by = {r.i: np.array(r.v) for r in got}
     if not by:
         return np.zeros((rows, rows)), 0

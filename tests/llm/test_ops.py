@@ -338,3 +338,14 @@ def test_queries_are_registered():
     from sectloom.llm.queries import LLM
 
     assert {f"p{n}_found" for n in range(1, 11)} <= set(LLM.queries)
+
+
+def test_more_clusters_than_a_hundred(spark):
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(110, 160))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.repeat(centres, 40, 0) + g.normal(size=(110 * 40, 160)) * 0.03
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<float>")
+    m = gridclust.grid_clusters(df, "id", "emb", 160).toPandas()
+    assert m.cluster.notna().all() and m.cluster.nunique() == 110
+    assert (m.groupby(m.id // 40).cluster.nunique() == 1).all()
