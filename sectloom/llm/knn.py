@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,19 +13,25 @@ from sectloom.llm.vectors import matrix, usable
 from sectloom.plans.runtime import cut, forget, release
 
 #: Neighbours kept while the graph is built, trees it begins from, and rows of one leaf.
-KEEP, TREES, LEAF = 10, 4, 4096
-#: Rows the trees' split directions are fitted on; every row is then routed and searched.
-SAMPLE = 20_000
+KEEP, TREES, LEAF = 12, 5, 2048
+#: Rows the trees' split directions are fitted on, and rows a leaf that came out larger than twice LEAF is split
+#: further on; every row is then routed and searched.
+SAMPLE, AGAIN = 20_000, 2048
+#: Rows of one leaf that are routed together when it is split further; numbers a split leaf's parts get.
+ROUTED, PARTS = 20_000, 4096
 #: A round of neighbours of neighbours that changes at most this share of the lists' entries is the last.
 SETTLED = 0.002
 #: Neighbours of each direction whose pairs a round compares.
-JOIN = 6
+JOIN = 8
+#: Neighbouring leaves of the first tree whose rows' pairs are compared in one task.
+NEAR = 2
 #: Copies of one vector that stand for all of them in a list; must exceed the k asked for.
 COPIES = 16
 
 
 class Forest:
-    """Trees of two-means splits over a bounded sample; leaves are expected to hold at most LEAF rows."""
+    """Trees of two-means splits over a bounded sample; leaves are expected to hold at most ``leaf`` rows of all. Leaves
+    are numbered from left to right."""
 
     def __init__(self, sample: np.ndarray, rows: int, trees: int, leaf: int):
         self.trees = [self._grow(sample, rows / max(1, len(sample)), leaf, np.random.default_rng(t)) for t in range(trees)]
@@ -118,9 +126,10 @@ def top_lists(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
-def encode(df: DataFrame, key: str, vec: str, dim: int, trees: int, leaf: int) -> tuple[DataFrame, DataFrame | None]:
+def encode(df: DataFrame, key: str, vec: str, dim: int, trees: int, leaf: int, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame | None]:
     """(id, code, scale, leaves): distinct packed vectors routed to their leaf of every tree; and (rep, id) of
-    the copies, see :func:`collapse`. The trees are fitted on distinct vectors."""
+    the copies, see :func:`collapse`. The trees are fitted on distinct vectors; no leaf has more than twice
+    ``leaf`` rows."""
     u = usable(df, key, vec, dim).select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"))
 
     def packed(it):
@@ -134,38 +143,63 @@ def encode(df: DataFrame, key: str, vec: str, dim: int, trees: int, leaf: int) -
     if members is not None:
         release(whole)
     n = reps.count()
-    share = min(1.0, 1.3 * SAMPLE / max(1, n))
+    share = min(1.0, 1.3 * sample / max(1, n))
     # a sample by a hash of the key, so that it doesn't depend on how rows lie in partitions
-    picked = reps.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).toPandas()
+    picked = reps.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample).toPandas()
     forest = Forest(unpack(picked.code, picked.scale, dim) if len(picked) else np.empty((0, dim), np.float32), n, trees, leaf)
 
     def work(it):
         for pdf in it:
             if len(pdf):
-                yield pdf.assign(leaves=list(forest.route(unpack(pdf.code, pdf.scale, dim))))
+                yield pdf.assign(leaves=list(forest.route(unpack(pdf.code, pdf.scale, dim)).astype(np.int64)))
 
-    codes = cut(reps.mapInPandas(work, "id long, code binary, scale float, leaves array<int>"), "codes")
+    codes = cut(reps.mapInPandas(work, "id long, code binary, scale float, leaves array<long>"), "codes")
     release(reps)
-    return codes, members
-
-
-def leaf_parts(codes: DataFrame, leaf: int) -> DataFrame:
-    """(t, leaf, _k): the blocks that each leaf larger than twice ``leaf`` is cut into; no more rows than the
-    trees have leaves, which SAMPLE bounds."""
-    x = codes.select(F.posexplode("leaves").alias("t", "leaf"))
-    return x.groupBy("t", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).cast("int").alias("_k")).filter("_k > 1")
+    return split_further(codes, dim, leaf), members
 
 
-def split_leaves(codes: DataFrame, leaf: int) -> DataFrame:
-    """(id, code, scale, t, leaf, part): a row a tree; a leaf that turned out larger than twice ``leaf`` is cut
-    into blocks by a hash of the vector, another in each tree, so that no block grows with the data."""
-    x = codes.select("id", "code", "scale", F.posexplode("leaves").alias("t", "leaf"))
-    j = x.join(leaf_parts(codes, leaf), ["t", "leaf"], "left")
-    return j.select("id", "code", "scale", "t", "leaf", F.pmod(F.hash("code", "t"), F.coalesce("_k", F.lit(1))).alias("part"))
-
-
-def leaf_graph(codes: DataFrame, dim: int, leaf: int, keep: int) -> DataFrame:
-    """(a, b, s): the ``keep`` most similar rows of each row within its leaves, all pairs of a leaf compared."""
+def split_further(codes: DataFrame, dim: int, leaf: int) -> DataFrame:
+    """The same codes with every leaf of more than twice ``leaf`` rows split by a tree of its own, fitted on AGAIN of
+    its rows, again and again until none is larger. Rows of one leaf are routed in groups of about ROUTED,
+    so neither a leaf nor its tree need fit a task whole. Distinct vectors can always be told apart, so the
+    rounds end."""
+    while True:
+        size = codes.select(F.explode(F.transform("leaves", lambda v, t: F.struct(t.alias("t"), v.alias("leaf")))).alias("z")).groupBy("z.t", "z.leaf").agg(F.count(F.lit(1)).alias("n"))
+        big = cut(size.filter(F.col("n") > 2 * leaf), "big")
+        if not big.limit(1).count():
+            release(big)
+            return codes
+        rows = codes.select("id", "code", "scale", F.posexplode("leaves").alias("t", "leaf")).join(big, ["t", "leaf"])
+        chance = F.pmod(F.xxhash64("id", "t"), F.lit(1_000_000)) < F.col("_share")
+        some = rows.withColumn("_share", F.least(F.lit(1.0), 1.3 * AGAIN / F.col("n")) * 1_000_000).filter(chance)
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id").head(AGAIN)
+            f = Forest(unpack(pdf.code, pdf.scale, dim), int(pdf.n.iloc[0]), 1, leaf)
+            return pd.DataFrame({"t": [pdf.t.iloc[0]], "leaf": [pdf.leaf.iloc[0]], "n": [pdf.n.iloc[0]], "tree": [pickle.dumps(f)]})
+
+        trees = cut(some.groupBy("t", "leaf").applyInPandas(fit, "t int, leaf long, n long, tree binary"), "trees")
+        salts = F.ceil(F.col("n") / ROUTED).cast("int")
+        each = trees.select("t", "leaf", "tree", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+
+        def route(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"id": [], "t": [], "to": []})
+            at = pickle.loads(right.tree.iloc[0]).route(unpack(left.code, left.scale, dim))[:, 0].astype(np.int64)
+            return pd.DataFrame({"id": left.id, "t": left.t, "to": (left.leaf + 1) * PARTS + at})
+
+        salted = rows.withColumn("salt", F.pmod(F.hash("id"), salts))
+        moved = salted.groupBy("t", "leaf", "salt").cogroup(each.groupBy("t", "leaf", "salt")).applyInPandas(route, "id long, t int, to long")
+        by = moved.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "to"))).alias("_to"))  # at most a tree each
+        new = codes.join(by, "id", "left").withColumn("leaves", F.when(F.col("_to").isNull(), F.col("leaves")).otherwise(F.transform("leaves", lambda v, t: F.coalesce(F.element_at("_to", t), v)))).drop("_to")
+        new = cut(new, "codes")
+        for gone in (codes, big, trees):
+            release(gone)
+        codes = new
+
+
+def leaf_graph(codes: DataFrame, dim: int, keep: int) -> DataFrame:
+    """(a, b, s): the ``keep`` most similar rows of each row within its leaves: where NN-descent begins."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = unpack(pdf.code, pdf.scale, dim), pdf.id.values
@@ -181,7 +215,8 @@ def leaf_graph(codes: DataFrame, dim: int, leaf: int, keep: int) -> DataFrame:
         ok = s > -1.5
         return pd.DataFrame({"a": a[ok], "b": b[ok], "s": s[ok]})
 
-    return split_leaves(codes, leaf).groupBy("t", "leaf", "part").applyInPandas(work, "a long, b long, s float")
+    x = codes.select("id", "code", "scale", F.posexplode("leaves").alias("t", "leaf"))
+    return x.groupBy("t", "leaf").applyInPandas(work, "a long, b long, s float")
 
 
 def links_of(graph: DataFrame) -> DataFrame:
@@ -193,30 +228,23 @@ def links_of(graph: DataFrame) -> DataFrame:
     return fwd.unionByName(rev).distinct()
 
 
-def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame, parts: dict[tuple[int, int], int]) -> DataFrame:
-    """(a, b): pairs of rows that share a neighbour and no block of a leaf; a < b. ``parts`` has the number
-    of blocks of each leaf that was cut. Pairs of which both links stood in
-    the links of the round before were compared then, and are left out."""
+def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame) -> DataFrame:
+    """(a, b): pairs of rows that share a neighbour and no leaf; a < b. Pairs of which both links stood in the
+    links of the round before were compared then, and are left out."""
     old = before.withColumn("old", F.lit(True)) if before is not None else None
     both = links.withColumn("old", F.lit(False)) if old is None else links.join(old, ["u", "x"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
-    hashes = F.transform("leaves", lambda _, t: F.hash("code", t)) if parts else F.array().cast("array<int>")
-    both = both.join(codes.select(F.col("id").alias("x"), "leaves", hashes.alias("h")), "x")
-    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves", "h", "old")).alias("m")).filter(F.exists("m", lambda r: ~r["old"]))  # at most 2 * JOIN
+    both = both.join(codes.select(F.col("id").alias("x"), "leaves"), "x")
+    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves", "old")).alias("m")).filter(F.exists("m", lambda r: ~r["old"]))  # at most 2 * JOIN
 
     def work(it):
         for pdf in it:
             out = []
             for m in pdf.m:
                 x = np.array([r["x"] for r in m], np.int64)
-                l = np.array([r["leaves"] for r in m], np.int32)
+                l = np.array([r["leaves"] for r in m], np.int64)
                 o = np.array([r["old"] for r in m], bool)
                 i, j = np.triu_indices(len(x), 1)
-                same = l[i] == l[j]
-                if parts:
-                    k = np.array([[parts.get((t, v), 1) for t, v in enumerate(r)] for r in l.tolist()], np.int64)
-                    part = np.array([r["h"] for r in m], np.int64) % k
-                    same &= part[i] == part[j]
-                far = ~same.any(1) & ~(o[i] & o[j])
+                far = ~(l[i] == l[j]).any(1) & ~(o[i] & o[j])
                 if far.any():
                     p, q = x[i[far]], x[j[far]]
                     out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
@@ -227,12 +255,12 @@ def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame, pa
 
 
 def compare(pairs: DataFrame, codes: DataFrame, dim: int) -> DataFrame:
-    """(a, b, s) both ways for pairs a < b. Pairs are grouped by the block of a; each block gets every
-    vector it needs once, so vectors are not sent once a pair."""
-    home = codes.select("id", F.concat_ws(":", F.element_at("leaves", 1), F.pmod(F.hash("id"), F.lit(4))).alias("block"))
+    """(a, b, s) both ways for pairs a < b. Pairs are grouped by the block of a, NEAR neighbouring leaves; each block
+    gets every vector it needs once, so vectors are not sent once a pair. Leaves are bounded, so blocks are."""
+    home = codes.select("id", F.floor(F.element_at("leaves", 1) / NEAR).alias("block"))
     p = pairs.join(home.select(F.col("id").alias("a"), "block"), "a")
     need = p.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
-    sent = need.join(codes.select("id", "code", "scale"), "id").select(F.concat("block", F.lit("")).alias("to"), "id", "code", "scale")
+    sent = need.join(codes.select("id", "code", "scale"), "id").select(F.col("block").alias("to"), "id", "code", "scale")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -247,18 +275,15 @@ def compare(pairs: DataFrame, codes: DataFrame, dim: int) -> DataFrame:
     return p.groupBy("block").cogroup(sent.groupBy("to")).applyInPandas(work, "a long, b long, s float")
 
 
-def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP, leaf: int = LEAF) -> DataFrame:
+def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP) -> DataFrame:
     """(a, b, s): the neighbour graph of the routed vectors, improved by rounds of neighbours of neighbours
     until a round changes at most SETTLED of all entries. Lists only improve, so the rounds end."""
-    graph = cut(top_lists(leaf_graph(codes, dim, leaf, keep).groupBy("a", "b").agg(F.max("s").alias("s")), keep), "graph")
+    graph = cut(top_lists(leaf_graph(codes, dim, keep).groupBy("a", "b").agg(F.max("s").alias("s")), keep), "graph")
     rows = codes.count()
-    if rows <= leaf:
-        return graph
-    parts = {(r.t, r.leaf): r["_k"] for r in leaf_parts(codes, leaf).collect()}
     before = None
     while True:
         links = cut(links_of(graph), "links")
-        pairs = cut(round_pairs(links, before, codes, parts), "pairs")
+        pairs = cut(round_pairs(links, before, codes), "pairs")
         worst = graph.groupBy("a").agg(F.min("s").alias("_w"), F.count(F.lit(1)).alias("_n"))
         new = compare(pairs, codes, dim).join(worst, "a", "left").filter(F.col("_w").isNull() | (F.col("_n") < keep) | (F.col("s") > F.col("_w"))).select("a", "b", "s")
         new = cut(new.join(graph.select("a", "b"), ["a", "b"], "left_anti"), "new")
@@ -311,13 +336,13 @@ def nearest(df: DataFrame, key: str, vec: str, dim: int, k: int, *, keep: int =
     measured recall.
 
     Vectors of 8 bits a number are routed through trees of two-means splits (fitted on at most SAMPLE
-    rows), all pairs of a leaf are compared, and rounds of NN-descent compare neighbours of
-    neighbours that were in no block of a leaf together. s is exact to about 0.002. Sets of copies are searched once and
+    rows) whose leaves give the lists to begin from, and rounds of NN-descent compare neighbours of
+    neighbours that were in no leaf together. s is exact to about 0.002. Sets of copies are searched once and
     filled in afterwards, so one vector held by a third of all rows costs no more than another. Rows
     that are not usable give none; keys are whole numbers; ties go to the lesser key.
     """
     reps, members = encode(df, key, vec, dim, trees, leaf)
-    return expand(nn_descent(reps, dim, keep=keep, leaf=leaf), members, k)
+    return expand(nn_descent(reps, dim, keep=keep), members, k)
 
 
 def exact_cosine(pairs: DataFrame, df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
@@ -330,13 +355,12 @@ def exact_cosine(pairs: DataFrame, df: DataFrame, key: str, vec: str, dim: int)
     return j.withColumn("cos", dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))).drop("va", "vb")
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dim: int, k: int, *, beam: int = 32, hops: int = 4, entries: int = 32) -> DataFrame:
+def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dim: int, k: int, *, beam: int = 32, entries: int = 32) -> DataFrame:
     """(q, b, s): the k most similar rows of each query row, by greedy search in the neighbour graph.
 
     ``queries`` has (q, code, scale, leaves). Every query is routed to its leaf of each tree, begins at
     ``entries`` fixed rows of each, and goes on from the neighbours (both ways) of its ``beam`` best rows
-    not yet opened, until no query finds anything new or ``hops`` are done. A query itself is never
-    among its results.
+    not yet opened, until no query has one left. A query itself is never among its results.
     """
     both = cut(graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("_h", F.xxhash64("a", "b")), "links")
     w = Window.partitionBy("a").orderBy("_h")
@@ -358,7 +382,7 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dim: i
     wq = Window.partitionBy("q").orderBy(F.col("s").desc(), "b")
     first = queries.select("q", F.posexplode("leaves").alias("t", "leaf")).join(start, ["t", "leaf"]).select("q", "b").distinct()
     seen = cut(score(first).withColumn("open", F.lit(False)), "seen")
-    for _ in range(hops):
+    while True:
         best = seen.withColumn("_r", F.row_number().over(wq)).filter(F.col("_r") <= beam)
         todo = best.filter(~F.col("open")).select("q", F.col("b").alias("a"))
         cand = todo.join(links, "a").select("q", "b").distinct().join(seen.select("q", "b"), ["q", "b"], "left_anti")
