@@ -11,21 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a window. A quote of n >= 22 words with at most n/8 replaced holds a clean run of 5 words or more.
-WINDOW = 5
 #: Hamming radius, and the bit ranges of its radius + 1 blocks: fingerprints within the radius agree in one block at least.
 RADIUS = 2
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Item windows looked up in one pass; more items are taken in further passes over the documents.
-MAX_WINDOWS = 1_000_000
+#: Item words looked up in one pass; more items are taken in further passes over the documents.
+MAX_WORDS = 1_000_000
 #: Share of an item's words a run must hold, and words per replaced word.
 SHARE, PER_REPLACED = 0.5, 8
-#: Weighted share of an item's shingles that windows of one document must agree on before the exact check.
-MIN_VOTES = 0.25
-#: Windows, per word of the item, that a pair needs for its votes to be counted, and the words by which one alignment may shift.
-MIN_WINDOWS, SLACK = 0.08, 3
-#: Documents whose windows are looked up together.
-DOCS_AT_ONCE = 2000
+#: Words by which one alignment may shift.
+SLACK = 3
+#: Documents whose windows are looked up together, and pairs of windows beyond which they are looked up in halves.
+DOCS_AT_ONCE, PAIRS_AT_ONCE = 2000, 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -39,17 +35,37 @@ def word_hash(w: str) -> int:
     return xxhash.xxh64_intdigest(w)
 
 
-def fingerprints(h: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of every window of WINDOW word hashes: each bit is the majority of the words' bits,
-    added up for all 64 bits at once by bitwise full adders."""
-    n = len(h) - WINDOW + 1
+def window_of(n: int) -> tuple[int, int]:
+    """(words in a window, windows) that every run of half of an item of ``n`` words holds unharmed.
+
+    Of L = n / 2 words up to L / 8 are replaced, and two more may be divided otherwise. What is left lies in that
+    many places and one more, so the longest of them has at least the mean length: the window. A window
+    is lost only by a word in it, which leaves the number of windows that is needed.
+    """
+    run = -(-n // 2)
+    bad = run // PER_REPLACED
+    w = max(1, -(-(run - bad - 2) // (bad + 2)))
+    return w, max(1, run - w + 1 - bad * w - (w + 1))
+
+
+def fingerprints(h: np.ndarray, w: int) -> np.ndarray:
+    """64-bit SimHash of every window of ``w`` word hashes: each bit is the majority of the words' bits, counted
+    for all 64 bits at once in bit planes."""
+    n = len(h) - w + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    a, b, c, d, e = (h[i : i + n] for i in range(5))
-    s1, c1 = a ^ b ^ c, (a & b) | (c & (a ^ b))
-    s2, c2 = d ^ e, d & e
-    low = s1 & s2
-    return (c1 & c2) | ((c1 ^ c2) & (s1 | s2)) | (c1 & low) | (c2 & low)
+    planes: list[np.ndarray] = []
+    for i in range(w):
+        carry = h[i : i + n]
+        for j, p in enumerate(planes):
+            planes[j], carry = p ^ carry, p & carry
+        if i + 1 == 1 << len(planes):
+            planes.append(carry)
+    least = w // 2 + 1
+    out = np.full(n, ~np.uint64(0))
+    for j, p in enumerate(planes):  # count >= least, from the lowest bit
+        out = p & out if least >> j & 1 else p | out
+    return out
 
 
 class _Hashes(dict):
@@ -60,25 +76,14 @@ class _Hashes(dict):
         return v
 
 
-class ItemIndex:
-    """Windows of some items, found by any of the blocks."""
+class WindowIndex:
+    """Windows of the items that have windows of one size, found by any of the blocks."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.words = dict(items)
-        self.order = [k for k, _ in items]
-        hashes = [np.array([word_hash(w) for w in ws], np.uint64) for _, ws in items]
-        fps = [fingerprints(h) for h in hashes]
-        self.fp = np.concatenate([np.empty(0, np.uint64), *fps])
-        starts = np.cumsum([0] + [len(h) for h in hashes])
-        self.base = np.repeat(starts[:-1], [len(f) for f in fps]).astype(np.int64)
-        self.pos = np.concatenate([np.empty(0, np.int64), *(np.arange(len(f)) for f in fps)])
-        self.flat = np.concatenate([np.empty(0, np.uint64), *hashes])
-        self.number = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        _, code = np.unique(self.flat, return_inverse=True)
-        df = np.bincount(np.unique(code * np.int64(max(1, len(items))) + self.number) // max(1, len(items)))
-        self.flat_weight = np.log(1 + len(items) / df[code]) if len(code) else np.empty(0)
-        self.total = np.bincount(self.number, self.flat_weight, len(items))
-        self.length = np.array([len(h) for h in hashes])
+    def __init__(self, w: int, numbers: np.ndarray, starts: np.ndarray, flat: np.ndarray):
+        self.w = w
+        at = [np.arange(starts[i], starts[i + 1] - w + 1) for i in numbers]
+        self.at = np.concatenate([np.empty(0, np.int64), *at]).astype(np.int64)  # first word of each window
+        self.fp = np.concatenate([np.empty(0, np.uint64), *(fingerprints(flat[starts[i] : starts[i + 1]], w) for i in numbers)])
         self.keys = []
         for lo, bits in BLOCKS:
             v = (self.fp >> np.uint64(lo)).astype(np.int64) & ((1 << bits) - 1)
@@ -87,62 +92,100 @@ class ItemIndex:
             there[v] = True
             self.keys.append((lo, bits, v[order], order, there))
 
+    def lookup(self, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """All (document window, item window) pairs within RADIUS; None if more than ``most`` would be looked at."""
+        todo, total = [], 0
+        for lo, bits, sorted_v, order, there in self.keys:
+            v = (fp >> np.uint64(lo)).astype(np.int64) & ((1 << bits) - 1)
+            at = np.flatnonzero(there[v])
+            first, last = np.searchsorted(sorted_v, v[at], "left"), np.searchsorted(sorted_v, v[at], "right")
+            total += int((last - first).sum())
+            todo.append((at, first, last - first, order))
+        if total > most:
+            return None
+        dw, iw = [], []
+        for at, first, cnt, order in todo:
+            d = np.repeat(at, cnt)
+            i = order[np.repeat(first - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt) + np.arange(cnt.sum())] if len(d) else d
+            near = np.bitwise_count(fp[d] ^ self.fp[i]) <= RADIUS
+            dw.append(d[near])
+            iw.append(i[near])
+        n = np.int64(max(1, len(self.fp)))
+        key = np.unique(np.concatenate(dw) * n + np.concatenate(iw))
+        return key // n, key % n
+
+
+class ItemIndex:
+    """Items by the windows that :func:`window_of` gives each; built once and shipped."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.words = dict(items)
+        self.order = [k for k, _ in items]
+        self.length = np.array([len(ws) for _, ws in items])
+        starts = np.cumsum([0, *self.length])
+        self.flat = np.array([word_hash(w) for _, ws in items for w in ws], np.uint64)
+        self.number = np.repeat(np.arange(len(items)), self.length) if len(items) else np.empty(0, np.int64)
+        _, code = np.unique(self.flat, return_inverse=True)
+        df = np.bincount(np.unique(code * np.int64(max(1, len(items))) + self.number) // max(1, len(items)))
+        self.weight = np.log(1 + len(items) / df[code]) if len(code) else np.empty(0)
+        size = np.array([window_of(n) for n in self.length]).reshape(-1, 2)
+        self.need = size[:, 1]
+        # the lightest stretch that the needed windows can cover
+        span = size[:, 0] + self.need - 1
+        sums = np.concatenate(([0.0], np.cumsum(self.weight)))
+        self.least = np.array([(sums[a + m : b + 1] - sums[a : b + 1 - m]).min() - 1e-9 for a, b, m in zip(starts[:-1], starts[1:], np.minimum(span, self.length))])
+        self.groups = [WindowIndex(int(w), np.flatnonzero(size[:, 0] == w), starts, self.flat) for w in np.unique(size[:, 0])]
+
     def candidates(self, words: list[list[str]], memo: _Hashes):
-        """(document number, item, first and last window) of alignments whose agreeing windows cover MIN_VOTES
-        of the item's weight; all documents' windows are looked up at once."""
-        flat = [memo[w] for ws in words for w in ws]
-        h = np.array(flat, np.uint64)
-        dw, iw = self.lookup(fingerprints(h))
+        """(document number, item, first and last window) of alignments that agree in as many windows, of as
+        much weight, as any run of half of the item must; all documents' windows are looked up at once."""
+        h = np.array([memo[w] for ws in words for w in ws], np.uint64)
+        ends = np.cumsum([len(ws) for ws in words])
+        for g in self.groups:
+            yield from self._of(g, h, ends, 0, len(words))
+
+    def _of(self, g: WindowIndex, h: np.ndarray, ends: np.ndarray, lo: int, hi: int):
+        """Candidates among documents lo..hi, by halves if their pairs of windows are too many at once."""
+        base = int(ends[lo - 1]) if lo else 0
+        h_ = h[base : ends[hi - 1]]
+        pairs = g.lookup(fingerprints(h_, g.w), PAIRS_AT_ONCE if hi - lo > 1 else 1 << 62)
+        if pairs is None:
+            mid = (lo + hi) // 2
+            yield from self._of(g, h, ends, lo, mid)
+            yield from self._of(g, h, ends, mid, hi)
+            return
+        dw, iw = pairs
         if not len(dw):
             return
-        ends = np.cumsum([len(ws) for ws in words])
-        doc = np.searchsorted(ends, dw, "right")
-        inside = dw + WINDOW <= ends[doc]  # a window over the end of a document is none
-        dw, iw, doc = dw[inside], iw[inside], doc[inside]
+        last = ends[lo:hi] - base
+        doc = np.searchsorted(last, dw, "right")
+        inside = dw + g.w <= last[np.minimum(doc, len(last) - 1)]  # a window over the end of a document is none
+        dw, at, doc = dw[inside], g.at[iw[inside]], doc[inside]
         n = np.int64(len(self.order))
-        own = doc * n + self.number[self.base[iw]]
+        own = doc * n + self.number[at]
         u, inv, cnt = np.unique(own, return_inverse=True, return_counts=True)
-        many = (cnt >= np.maximum(2, MIN_WINDOWS * self.length[u % n]))[inv]
-        dw, at, own = dw[many], (self.base[iw] + self.pos[iw])[many], own[many]  # at: item words, numbered through
+        many = (cnt >= self.need[u % n])[inv]
+        dw, at, own = dw[many], at[many], own[many]
         if not len(dw):
             return
         # windows of one alignment have nearly the same distance between document and item words
         by = np.lexsort((dw - at, own))
         dw, at, own = dw[by], at[by], own[by]
         run = np.cumsum(np.concatenate(([0], (np.diff(own) != 0) | (np.diff(dw - at) > SLACK))))
+        size = np.int64(len(self.flat))
         seen = []
-        for s in range(WINDOW):
-            eq = h[dw + s] == self.flat[at + s]
-            seen.append(run[eq] * np.int64(len(self.flat)) + at[eq] + s)
+        for s in range(g.w):
+            eq = h_[dw + s] == self.flat[at + s]
+            seen.append(run[eq] * size + at[eq] + s)
         seen = np.unique(np.concatenate(seen))
-        votes = np.bincount(seen // len(self.flat), self.flat_weight[seen % len(self.flat)], run[-1] + 1)
+        votes = np.bincount(seen // size, self.weight[seen % size], run[-1] + 1)
         first = np.flatnonzero(np.concatenate(([True], np.diff(run) != 0)))
         for r, i, j in zip(range(len(first)), first, np.append(first[1:], len(run))):
             item = int(own[i] % n)
-            if votes[r] >= MIN_VOTES * self.total[item]:
+            if votes[r] >= self.least[item]:
                 k = int(own[i] // n)
-                start = ends[k] - len(words[k])
-                yield k, self.order[item], int(dw[i:j].min() - start), int(dw[i:j].max() - start)
-
-    def lookup(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (document window, item window) pairs within RADIUS."""
-        dw, iw = [], []
-        for lo, bits, sorted_v, order, there in self.keys:
-            v = (fp >> np.uint64(lo)).astype(np.int64) & ((1 << bits) - 1)
-            at = np.flatnonzero(there[v])
-            if not len(at):
-                continue
-            lo_i, hi_i = np.searchsorted(sorted_v, v[at], "left"), np.searchsorted(sorted_v, v[at], "right")
-            cnt = hi_i - lo_i
-            d = np.repeat(at, cnt)
-            i = order[np.repeat(lo_i - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt) + np.arange(cnt.sum())]
-            near = np.bitwise_count(fp[d] ^ self.fp[i]) <= RADIUS
-            dw.append(d[near])
-            iw.append(i[near])
-        if not dw:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        key = np.unique(np.concatenate(dw) * np.int64(max(1, len(self.fp))) + np.concatenate(iw))
-        return key // max(1, len(self.fp)), key % max(1, len(self.fp))
+                start = int(last[k - 1]) if k else 0
+                yield lo + k, self.order[item], int(dw[i:j].min() - start), int(dw[i:j].max() - start) + g.w - 1
 
 
 def longest_run(item: list[str], doc: list[str]) -> int:
@@ -176,13 +219,14 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
     """(doc_key, item_key, run_words, item_words): documents that hold, in one run, at least half of an
     item's words in their order, with at most one word in eight replaced.
 
-    Every window of WINDOW words of every document gets a SimHash; a multi-index over three blocks
-    of bits gives every item window within RADIUS. Windows of one document that agree with an item
-    add their weighted shingles (weights: rarity among the items); pairs above MIN_VOTES of the
-    item's weight are checked exactly, word by word. Documents are read whole and never shuffled,
-    so copies or one hot source cost no more than other rows. Items are few and frozen: they are
-    broadcast in passes of at most MAX_WINDOWS windows. Null and empty texts and null keys match
-    nothing; an item of fewer than WINDOW words is not searched for. Repeated rows give one result.
+    Windows are sized by the item: the longest that a run of half of it must hold unharmed, see
+    :func:`window_of`. Every window of that size of every document gets a SimHash; a multi-index over
+    three blocks of bits gives every item window within RADIUS. Windows of one alignment add their
+    weighted shingles (weights: rarity among the items); pairs with as many windows, of as much weight, as any such
+    run must have are checked exactly, word by word. Documents are read whole and never shuffled,
+    so copies or one hot source cost no more than other rows. Items are few and frozen: their index is
+    built once and broadcast, in passes of at most MAX_WORDS item words. Null and empty texts and
+    null keys match nothing; items of a single word are searched for too. Repeated rows give one result.
     """
     spark = docs.sparkSession
     out = None
@@ -191,14 +235,14 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
     n = 0
 
     def one_pass(batch):
-        shared = spark.sparkContext.broadcast(batch)
+        shared = spark.sparkContext.broadcast(ItemIndex(batch))
 
         def scan(it):
-            ix = ItemIndex(shared.value)
+            ix = shared.value
             memo = _Hashes()
             for pdf in it:
                 rows = []
-                for lo in range(0, len(pdf), DOCS_AT_ONCE):
+                for lo in range(0, len(pdf) if ix.groups else 0, DOCS_AT_ONCE):
                     keys, texts = pdf._d.values[lo : lo + DOCS_AT_ONCE], pdf._x.values[lo : lo + DOCS_AT_ONCE]
                     words = [words_of(x) for x in texts]
                     if len(memo) > 1_000_000:
@@ -217,9 +261,9 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
         if r[0] is None or not r[1]:
             continue
         ws = words_of(r[1])
-        if len(ws) < WINDOW:
+        if not ws:
             continue
-        if batch and n + len(ws) > MAX_WINDOWS:
+        if batch and n + len(ws) > MAX_WORDS:
             p = one_pass(batch)
             out = p if out is None else out.unionByName(p)
             batch, n = [], 0

@@ -150,9 +150,42 @@ def test_packing_round_trip(spark):
 # p9 -------------------------------------------------------------------------
 def test_fingerprints_are_majorities():
     h = np.random.default_rng(0).integers(0, 2**63, 40, dtype=np.uint64)
-    f = leakage.fingerprints(h)
-    for i in range(len(f)):
-        assert all(int(f[i]) >> b & 1 == int(sum(int(x) >> b & 1 for x in h[i : i + 5]) >= 3) for b in range(64))
+    for w in range(1, 10):
+        f = leakage.fingerprints(h, w)
+        assert len(f) == 41 - w
+        for i in range(0, len(f), 5):
+            assert all(int(f[i]) >> b & 1 == int(2 * sum(int(x) >> b & 1 for x in h[i : i + w]) > w) for b in range(64))
+
+
+def test_no_quote_of_half_an_item_is_missed(spark):
+    """Items of 1 to 90 words, quoted by half with as many replaced words as are allowed, anywhere."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(6000)]
+    items, docs = [], []
+    for n in (1, 2, 3, 4, 5, 7, 9, 12, 16, 17, 21, 30, 33, 48, 64, 90):
+        t = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(t)))
+        for r in range(6):
+            half = -(-n // 2)
+            at = rnd.randrange(0, n - half + 1)
+            q = t[at : at + half]
+            # no word at an end, so that the run is as long as it says
+            for k in rnd.sample(range(1, half - 1), min(half // 8, max(0, half - 2))):
+                q[k] = "zzz"
+            docs.append((n * 100 + r, " ".join(rnd.choices(words, k=30) + q + rnd.choices(words, k=30))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, "doc_id", "text", it, "item_id", "text").collect()}
+    assert got == {(k, k // 100) for k, _ in docs}
+
+
+def test_too_many_pairs_at_once_are_looked_up_in_halves(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "PAIRS_AT_ONCE", 50)
+    words = [f"a{k}" for k in range(40)]
+    items = [(i, " ".join(words)) for i in range(5)]
+    ix = leakage.ItemIndex([(i, t.split()) for i, t in items])
+    got = {(k, i) for k, i, *_ in ix.candidates([words, ["x"], words + ["y"], []], leakage._Hashes())}
+    assert got == {(k, i) for k in (0, 2) for i in range(5)}
 
 
 def test_leaks(spark):
@@ -296,19 +329,22 @@ def test_trees_split_although_most_rows_are_copies():
     assert all(len(np.unique(f.route(x)[:, t])) > 1 for t in range(8))
 
 
-def test_pairs_of_a_leaf_cut_into_blocks_are_compared(spark):
-    """All rows lie in one leaf, which is cut; what the blocks separate is found by the rounds."""
-    _, x = _vectors()
-    code, scale = knn.pack(x / np.linalg.norm(x, axis=1, keepdims=True))
-    codes = spark.createDataFrame([(i, bytearray(c), float(s), [0, 0]) for i, (c, s) in enumerate(zip(code, scale))], "id long, code binary, scale float, leaves array<int>")
-    parts = {(r.t, r.leaf): r["_k"] for r in knn.leaf_parts(codes, 20).collect()}
-    assert parts == {(0, 0): 8, (1, 0): 8}
-    block = {}
-    for r in knn.split_leaves(codes, 20).collect():
-        block.setdefault(r.id, {})[r.t] = r.part
-    links = spark.createDataFrame([(0, i) for i in range(1, 9)], "u long, x long")
-    want = {(i, j) for i in range(1, 9) for j in range(i + 1, 9) if all(block[i][t] != block[j][t] for t in (0, 1))}
-    assert want and set(rows(knn.round_pairs(links, None, codes, parts))) == want
+def test_leaves_that_come_out_too_large_are_split_again(spark):
+    """Trees of a tiny sample leave large leaves; these get trees of their own, and lists are as good as before."""
+    x = np.random.default_rng(6).normal(size=(900, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<float>")
+    codes, members = knn.encode(df, "id", "emb", 4, 2, 20, sample=16)
+    assert members is None and codes.count() == 900
+    for t in (0, 1):
+        assert codes.groupBy(F.col("leaves")[t].alias("l")).count().agg(F.max("count")).first()[0] <= 40
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {i: set(np.argsort(-s[i])[:5].tolist()) for i in range(900)}
+    got = {}
+    for r in knn.top_lists(knn.nn_descent(codes, 4), 5).collect():
+        got.setdefault(r.a, set()).add(r.b)
+    assert np.mean([len(got[i] & want[i]) / 5 for i in want]) > 0.9
 
 
 def test_copies_of_one_vector(spark):
