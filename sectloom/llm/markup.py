@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectloom.plans.runtime import cut
+
 # fixed values: element names of HTML that count as tags
 TAGS = (
     "a abbr article aside b blockquote body br caption center cite code col dd del div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd li link main mark meta nav ol "
     "option p pre q ref s samp script section select small span strike strong style sub sup svg table tbody td textarea tfoot th thead title tr tt u ul var video nowiki math"
 ).split()
 BLOCKS = {"p", "div", "li", "ul", "ol", "table", "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "br", "hr", "dd", "dt", "body", "main", "header", "footer", "nav", "aside", "figure"}
-CONTAINERS = {"div", "article", "section", "main", "body", "td", "aside", "nav", "header", "footer"}
+CONTAINERS = {"div", "article", "section", "main", "body", "aside", "nav", "header", "footer"}
 #: A host's path wins if it gathers at least this share of the best path's votes.
 WIN_SHARE = 0.5
 
@@ -199,8 +201,9 @@ def latex_to_text(x: str) -> str:
         return f"\x00{len(held) - 1}\x00"
 
     x = re.sub(r"\\begin\{(?:equation|align|gather|displaymath|math)\*?\}(.*?)\\end\{(?:equation|align|gather|displaymath|math)\*?\}|\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\\$\w])\$(?=[^\s$])((?:(?!\n\n)[^$])*?(?<=[^\s$\\]))\$(?![\d$])", hold, x, flags=re.S)
-    x = re.sub(r"\(see~\\S\\ref\{[^{}]*\}\)\s?", "", x)
     x = _DROP.sub("", x)
+    x = re.sub(r"\\S(?![A-Za-z])", "§", x).replace("~", " ")
+    x = re.sub(r"\((?:see|cf\.?)?[\s§,;]*\)\s?", "", x)  # a bracket whose references are gone
     x = _HEADING.sub(r"\n\n# \1\n\n", x)
     for _ in range(4):
         y = _KEEP.sub(r"\1", x)
@@ -329,7 +332,7 @@ def clean_markup(df: DataFrame, key: str, fields: list[str], host: str) -> DataF
             yield out
 
     cols = f"_k {kt}, _h {ht}, field string, _v string, html int, markdown int, wiki int, latex int"
-    marked = v.mapInPandas(mark, cols)
+    marked = cut(v.mapInPandas(mark, cols), "marked")
     boxed = F.lower("_v").rlike("<(?:" + "|".join(sorted(CONTAINERS)) + r")[\s>]") & F.col("_h").isNotNull()
     wins = winning_paths(marked.filter(boxed), "_h", "_v")
     joined = marked.filter(boxed).join(wins, "_h", "left").select(*marked.columns, "_paths").unionByName(marked.filter(~F.coalesce(boxed, F.lit(False))).withColumn("_paths", F.lit(None).cast("array<string>")))
