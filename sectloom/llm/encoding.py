@@ -151,6 +151,9 @@ class Labeller:
         """Log-probability of a run, up to a constant a character."""
         t = 0.0
         for x in contexts(*key):
+            if x[1] == LOST:  # no character of any clean text
+                t -= ALIEN
+                continue
             v = self.log.get(x)
             if v is None:
                 v = max(self.floor, self.side.get((x[0], x[1], "*"), self.floor), self.side.get(("*", x[1], x[2]), self.floor))
@@ -167,7 +170,7 @@ class Labeller:
             clean = self.weigh(key)
             got = []
             if LOST in run:
-                got.append((len(STATES), 50.0, run))
+                got.append((len(STATES), -clean, run))
             for s, (_, chain) in enumerate(STATES):
                 new, rest = undo(run, chain), ""
                 if new is None and right == "s" and run[-1] in "ÃÂ":  # a no-break space that became a space
@@ -175,7 +178,7 @@ class Labeller:
                     rest = "!"
                 if new is None:
                     continue
-                gain = self.weigh((left, new, right)) - clean - 2.0 * new.count(LOST)
+                gain = self.weigh((left, new, right)) - clean + (ALIEN - 2.0) * new.count(LOST)
                 got.append((s, gain, new + rest))
             self.memo[key] = got
         return got
