@@ -153,4 +153,5 @@ def pack(docs: DataFrame, key: str, text: str, *, capacity: int = CAPACITY, toke
             out = [filler.put(int(x)) for x in pdf.n_tokens]
             yield pd.DataFrame({"container": (np.int64(part) << 40) + np.array(out, np.int64), key: pdf[key], "piece_no": pdf.piece_no, "first_token": pdf.first_token, "n_tokens": pdf.n_tokens, "n_pieces": pdf.n_pieces})
 
-    return spread.mapInPandas(work, f"container long, {key} {kind}, piece_no int, first_token long, n_tokens long, n_pieces int")
+    # written, so that numbers stay as they are although a lost partition is made again
+    return cut(spread.mapInPandas(work, f"container long, {key} {kind}, piece_no int, first_token long, n_tokens long, n_pieces int"), "containers")
