@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectloom.functions import stats
 from sectloom.functions.text import tokenize
+from sectloom.plans.runtime import cut
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,6 +57,67 @@ def unit_rows(w: DataFrame, key: str, weight: str = "w") -> DataFrame:
     return w.join(n, key).withColumn("u", F.col(weight) / F.col("_n")).drop("_n")
 
 
+def block_cosines(u: DataFrame, key: str, part, schema: str, block: int = 512) -> DataFrame:
+    """What ``part(s, a, b)`` makes of the cosines of all pairs of two blocks of sparse unit rows (key, term, u): ``s`` has
+    a row for each key of ``a`` and a column for each of ``b``; a pair of a row with itself is NaN.
+
+    Rows become arrays of term hashes and weights, blocks are numbered by a hash of the key, and each pair of blocks
+    is one product over the terms that both hold. A frequent term costs a column there, not all its pairs.
+    """
+    kt = u.schema[key].dataType.simpleString()
+    rows = u.groupBy(key).agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("u").alias("u"))).alias("t")).select(key, F.transform("t", lambda x: x["h"]).alias("h"), F.transform("t", lambda x: x["u"]).alias("w"))
+    rows = cut(rows, "rows")
+    n = max(1, -(-rows.count() // block))
+    home = F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = rows.select(F.col(key).alias("_k"), F.col("h").alias("_h"), F.col("w").alias("_w"), home.alias("_x"), other.alias("_y")).withColumn("_p", F.col("_x") * n + F.col("_y"))
+    right = rows.select(key, "h", "w", home.alias("_x"), other.alias("_y")).withColumn("_p2", F.col("_y") * n + F.col("_x"))
+    left = left.select("_k", "_h", "_w", "_p")
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.format(kt=kt).split(", ")])
+        ha, hb = np.concatenate(a["_h"].values), np.concatenate(b["h"].values)
+        terms = np.intersect1d(ha, hb)
+
+        def dense(h, w, size):
+            at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
+            hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
+            m = np.zeros((len(size), len(terms)))
+            m[np.repeat(np.arange(len(size)), size)[hit], at[hit]] = w[hit]
+            return m
+
+        s = dense(ha, np.concatenate(a["_w"].values), a["_h"].map(len).values) @ dense(hb, np.concatenate(b["w"].values), b["h"].map(len).values).T
+        s[a["_k"].values[:, None] == b[key].values[None, :]] = np.nan
+        return part(np.round(s, 6), a["_k"].values, b[key].values)
+
+    return left.groupBy("_p").cogroup(right.groupBy("_p2")).applyInPandas(work, schema.format(kt=kt))
+
+
+def nearest_rows(u: DataFrame, key: str, k: int) -> DataFrame:
+    """(a, b, s, rank): the k rows with the largest cosine of each row, of those that share a term; ties: the lesser key."""
+
+    def part(s, a, b):
+        order = np.argsort(b, kind="stable")
+        s, b = s[:, order], b[order]
+        c = np.argsort(np.where(s > 0, -s, np.inf), axis=1, kind="stable")[:, :k]
+        v = np.take_along_axis(s, c, 1)
+        out = pd.DataFrame({"a": np.repeat(a, c.shape[1]), "b": b[c].ravel(), "s": v.ravel()})
+        return out[out.s > 0]
+
+    return top(block_cosines(u, key, part, "a {kt}, b {kt}, s double"), ["a"], [F.col("s").desc(), F.col("b")], k)
+
+
+def count_links(u: DataFrame, key: str, floor: float) -> DataFrame:
+    """(key, links, strongest): for every row the number of others with a cosine of at least ``floor``, and the largest."""
+
+    def part(s, a, b):
+        hit = s >= floor
+        return pd.DataFrame({"a": a, "links": hit.sum(1), "strongest": np.where(hit, s, 0.0).max(1)})
+
+    return block_cosines(u, key, part, "a {kt}, links long, strongest double").groupBy(F.col("a").alias(key)).agg(F.sum("links").alias("links"), F.max("strongest").alias("strongest"))
+
+
 def pair_cosine(u: DataFrame, key: str, floor: float) -> DataFrame:
     """(a, b, s), a < b: cosines of at least ``floor`` of rows that share a term."""
     x, y = u.select("term", F.col(key).alias("a"), F.col("u").alias("ua")), u.select("term", F.col(key).alias("b"), F.col("u").alias("ub"))

@@ -65,16 +65,10 @@ def d05(spark, d):
     return _knn(spark, d, 5)
 
 
-@CORE("d06_lsh_knn")
+@CORE("d06_cell_knn")
 def d06(spark, d):
-    """Approximate neighbours by random-projection buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    e = _emb(spark, d).select("vec_id", array_to_vector("v").alias("f"))
-    m = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=2.0, numHashTables=4, seed=7).fit(e)
-    p = m.approxSimilarityJoin(e, e, 1.3, "dist").select(F.col("datasetA.vec_id").alias("query"), F.col("datasetB.vec_id").alias("vec_id"), F.round("dist", 6).alias("dist")).filter("query <> vec_id")
-    return L.top(p, ["query"], [F.col("dist"), F.col("vec_id")], 5)
+    """Approximate neighbours of every row: the rows of its nearest cells (recall is tested against d05)."""
+    return D.cell_topk(_emb(spark, d), "vec_id", "v", 5, cells=64, probe=12)
 
 
 @CORE("d07_pair_similarities", sql=_E + " SELECT x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.v, y.v), 6) AS s FROM e x JOIN e y ON y.vec_id = x.vec_id + 1")
@@ -97,14 +91,24 @@ def d09(spark, d):
     return D.medoids(_emb(spark, d), "vec_id", "label", "v")
 
 
-@CORE("d10_similarity_percentiles", sql=_P + " SELECT CAST(q AS DOUBLE) AS q, round(quantile_cont(s, q), 5) AS s FROM p, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q) GROUP BY q".replace("quantile_cont(s, q)", "list_extract(list_sort(list(s)), CAST(floor(q * (count(*) - 1)) AS INT) + 1) + (q * (count(*) - 1) - floor(q * (count(*) - 1))) * (list_extract(list_sort(list(s)), CAST(ceil(q * (count(*) - 1)) AS INT) + 1) - list_extract(list_sort(list(s)), CAST(floor(q * (count(*) - 1)) AS INT) + 1))"))
+_SEEDED = "(CAST(('0x' || md5('null:' || vec_id)[1:12]) AS BIGINT) + 0.5) / 281474976710656.0 < 2000.0 / (SELECT count(*) FROM e)"
+_NULL = _E + f", p AS (SELECT round(list_inner_product(x.v, y.v), 4) AS s FROM (SELECT * FROM e WHERE {_SEEDED}) x JOIN e y ON x.vec_id <> y.vec_id), h AS (SELECT s, count(*) AS n FROM p GROUP BY s), c AS (SELECT s, n, sum(n) OVER (ORDER BY s) AS upto, sum(n) OVER () AS total FROM h)"
+
+
+def _seeded(e):
+    """About 2,000 rows by a hash of the id: the rows whose similarities to all rows are the null."""
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit("null:"), F.col("vec_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    return e.filter(u < 2000.0 / max(1, e.count()))
+
+
+@CORE("d10_similarity_percentiles", sql=_NULL + " SELECT CAST(q AS DOUBLE) AS q, min(s) AS s FROM c, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q) WHERE upto >= q * total GROUP BY q")
 def d10(spark, d):
-    """Percentiles of the similarities of all neighbour candidates: the null distribution that scores are scaled by."""
+    """Percentiles of the similarities of seeded rows to all rows: the null distribution that scores are scaled by."""
     e = _emb(spark, d)
-    n = D.block_topk(e, e, "vec_id", "v", e.count() - 1).filter("query < vec_id")
-    qs = [0.05, 0.25, 0.5, 0.75, 0.95]
-    p = n.agg(F.percentile("s", F.array(*[F.lit(q) for q in qs])).alias("p"))
-    return p.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("p").alias("s"))).alias("z")).select("z.q", F.round("z.s", 5).alias("s"))
+    h = cut(D.similarity_counts(e, "vec_id", "v", 4, _seeded(e)), "null")
+    c = h.select("s", F.sum("n").over(Window.orderBy("s")).alias("upto")).crossJoin(F.broadcast(h.agg(F.sum("n").alias("total"))))  # 20,001 rows at most, and one
+    c = c.withColumn("q", F.explode(F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)])))
+    return c.filter(F.col("upto") >= F.col("q") * F.col("total")).groupBy("q").agg(F.min("s").alias("s"))
 
 
 @CORE("d11_truncated_vectors", sql="WITH e AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS n FROM e")
@@ -120,20 +124,20 @@ def d13(spark, d):
     return D.hashed_embedding(s, "record_id", tokenize(F.col("text")), 64).select("record_id", F.round(norm("vec"), 6).alias("n"))
 
 
-_COS = POST + """, v AS (SELECT record_id, term, w FROM wt WHERE df <= n / 10), nr AS (SELECT record_id, sqrt(sum(w * w)) AS l FROM v GROUP BY record_id), u AS (SELECT record_id, term, w / l AS u FROM v JOIN nr USING (record_id)),
+_COS = POST + """, v AS (SELECT record_id, term, w FROM wt WHERE df <= n / 2), nr AS (SELECT record_id, sqrt(sum(w * w)) AS l FROM v GROUP BY record_id), u AS (SELECT record_id, term, w / l AS u FROM v JOIN nr USING (record_id)),
 p AS (SELECT x.record_id AS a, y.record_id AS b, round(sum(x.u * y.u), 6) AS s FROM u x JOIN u y ON x.term = y.term AND x.record_id < y.record_id GROUP BY ALL) """
 
 
-def _sparse(spark, d, floor):
-    w = L.weights(post(spark, d), "record_id").filter(F.col("df") <= F.col("n") / 10)
-    u = cut(L.unit_rows(w, "record_id").select("record_id", "term", "u"), "unit")
-    return L.pair_cosine(u, "record_id", 0.0).withColumn("s", F.round("s", 6)).filter(F.col("s") >= floor)
+def _unit(spark, d):
+    """Unit rows of BM25 weights, without the terms of more than half of the sections."""
+    w = L.weights(post(spark, d), "record_id").filter(F.col("df") <= F.col("n") / 2)
+    return L.unit_rows(w, "record_id").select("record_id", "term", "u")
 
 
-@CORE("g01_sparse_cosines", sql=_COS + "SELECT a, b, s FROM p WHERE s >= 0.4")
+@CORE("g01_sparse_cosines", sql=_COS + ", y AS (SELECT a, s FROM p WHERE s >= 0.02 UNION ALL SELECT b, s FROM p WHERE s >= 0.02) SELECT record_id, count(a) AS links, coalesce(max(s), 0) AS strongest FROM nr LEFT JOIN y ON a = record_id GROUP BY record_id")
 def g01(spark, d):
-    """Pairs of sections with a sparse cosine of at least 0.4, terms in over a tenth of them aside."""
-    return _sparse(spark, d, 0.4)
+    """For every section the number of others with a sparse cosine of at least 0.02, and its strongest."""
+    return L.count_links(_unit(spark, d), "record_id", 0.02)
 
 
 @CORE("g02_cut")
@@ -144,11 +148,24 @@ def g02(spark, d):
 
 @CORE("g03_block_counts", sql=_P + ", k AS (SELECT a, b, s FROM p) SELECT least(x.label, y.label) || '-' || greatest(x.label, y.label) AS block, count(*) AS n, round(avg(s), 6) AS mean FROM k JOIN e x ON x.vec_id = a JOIN e y ON y.vec_id = b WHERE s >= 0.5 GROUP BY block")
 def g03(spark, d):
-    """Edges of at least 0.5 by pair of labels, order aside."""
-    e = _emb(spark, d)
-    n = D.block_topk(e, e, "vec_id", "v", e.count() - 1).filter("query < vec_id AND s >= 0.5")
-    j = n.join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("la")), "query").join(e.select("vec_id", F.col("label").alias("lb")), "vec_id")
-    return j.groupBy(F.concat_ws("-", F.least("la", "lb").cast("string"), F.greatest("la", "lb").cast("string")).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean"))
+    """Edges of at least 0.5 by pair of labels, order aside: each block of pairs gives counts and sums."""
+    return _by_labels(spark, d).filter("hits > 0").groupBy(F.concat_ws("-", "la", "lb").alias("block")).agg(F.sum("hits").alias("n"), F.round(F.sum("total") / F.sum("hits"), 6).alias("mean"))
+
+
+def _by_labels(spark, d):
+    """(la, lb, pairs, hits, total): pairs, those of at least 0.5 and their sum, of each block of pairs, by labels."""
+    import numpy as np
+    import pandas as pd
+
+    def part(s, l, r):
+        x = np.round(s, 6)
+        ok = ~np.isnan(x)
+        i, j = np.nonzero(ok)
+        a, b, v = l["_label"].values[i], r["label"].values[j], x[ok]
+        t = pd.DataFrame({"la": np.minimum(a, b), "lb": np.maximum(a, b), "pairs": 1, "hits": (v >= 0.5).astype(int), "total": np.where(v >= 0.5, v, 0.0)})
+        return t.groupby(["la", "lb"], as_index=False).sum()
+
+    return D.block_pairs(_emb(spark, d), "vec_id", "v", ["label"], part, "la int, lb int, pairs long, hits long, total double")
 
 
 @CORE("g04_block_z")
@@ -166,18 +183,14 @@ def g04(spark, d):
 @CORE("g05_block_rates", sql=_P + " SELECT least(x.label, y.label) AS la, greatest(x.label, y.label) AS lb, count(*) AS pairs, round(avg(CASE WHEN s >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM p JOIN e x ON x.vec_id = a JOIN e y ON y.vec_id = b GROUP BY ALL")
 def g05(spark, d):
     """Share of pairs of at least 0.5 in every pair of labels."""
-    e = _emb(spark, d)
-    n = D.block_topk(e, e, "vec_id", "v", e.count() - 1).filter("query < vec_id")
-    j = n.join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("x")), "query").join(e.select("vec_id", F.col("label").alias("y")), "vec_id")
-    return j.groupBy(F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.when(F.col("s") >= 0.5, 1.0).otherwise(0.0)), 6).alias("rate"))
+    return _by_labels(spark, d).groupBy("la", "lb").agg(F.sum("pairs").alias("pairs"), F.round(F.sum("hits") / F.sum("pairs"), 6).alias("rate"))
 
 
 @CORE("g06_budget_match", sql=_P + " SELECT a, b, s FROM (SELECT *, row_number() OVER (ORDER BY s DESC, a, b) AS r FROM p) WHERE r <= 2 * (SELECT count(*) FROM e)")
 def g06(spark, d):
     """The strongest pairs, twice as many as rows: the edge budget."""
     e = _emb(spark, d)
-    n = e.count()
-    return D.block_topk(e, e, "vec_id", "v", n - 1).filter("query < vec_id").select(F.col("query").alias("a"), F.col("vec_id").alias("b"), "s").orderBy(F.col("s").desc(), "a", "b").limit(2 * n)
+    return D.strongest_pairs(e, "vec_id", "v", 2 * e.count())
 
 
 @CORE("g07_backbone", sql=_P + ", y AS (SELECT a, b, s FROM p WHERE s > 0 UNION ALL SELECT b, a, s FROM p WHERE s > 0), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM y) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM r WHERE r <= 2")
@@ -217,8 +230,7 @@ def g12(spark, d):
 @CORE("g13_lexical_knn", sql=_COS + ", y AS (SELECT a, b, s FROM p UNION ALL SELECT b, a, s FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM y) SELECT a, b, s, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def g13(spark, d):
     """The five lexically nearest sections of each."""
-    p = _sparse(spark, d, 0.0)
-    return L.top(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), ["a"], [F.col("s").desc(), F.col("b")], 5)
+    return L.nearest_rows(_unit(spark, d), "record_id", 5)
 
 
 @CORE("g14_core_edges", sql=_P + """, y AS (SELECT a, b, s FROM p UNION ALL SELECT b, a, s FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM y), k AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM r WHERE r <= 15)

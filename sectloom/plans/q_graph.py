@@ -199,9 +199,10 @@ def n22(spark, d):
     return greedy_independent(reach, y)
 
 
-@CORE("n24_section_neighbours", sql=MENTIONS + ", p AS (SELECT x.build_id, x.ord AS a, z.ord AS b, round(sum(ln(n.n / f.df)), 6) AS s FROM m x JOIN m z ON z.build_id = x.build_id AND z.entity_id = x.entity_id AND z.ord <> x.ord JOIN f ON f.build_id = x.build_id AND f.entity_id = x.entity_id JOIN n ON n.build_id = x.build_id WHERE f.df BETWEEN 2 AND 30 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY build_id, a ORDER BY s DESC, b) AS rank FROM p) SELECT build_id, a, b, s, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
+@CORE("n24_section_neighbours", sql=MENTIONS + ", p AS (SELECT x.build_id, x.ord AS a, z.ord AS b, round(sum(ln(n.n / f.df)), 6) AS s FROM m x JOIN m z ON z.build_id = x.build_id AND z.entity_id = x.entity_id AND z.ord <> x.ord JOIN f ON f.build_id = x.build_id AND f.entity_id = x.entity_id JOIN n ON n.build_id = x.build_id WHERE f.df BETWEEN 2 AND 100 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY build_id, a ORDER BY s DESC, b) AS rank FROM p) SELECT build_id, a, b, s, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def n24(spark, d):
-    """The five sections that share most rare entities with each."""
+    """The five sections that share most rare entities with each: by the sum of ln(N / df) over shared entities, of those in at
+    most 100 sections of the build (the rule of entity bridges; a more frequent one joins no two sections)."""
     return top(_shared(spark, d), ["build_id", "a"], [F.col("s").desc(), F.col("b")], 5)
 
 
@@ -209,8 +210,8 @@ def _shared(spark, d):
     m = mentions(spark, d)
     f = m.groupBy("build_id", "entity_id").agg(F.count(F.lit(1)).alias("df"))
     n = m.groupBy("build_id").agg(F.countDistinct("ord").alias("n"))
-    x = m.join(f.filter("df BETWEEN 2 AND 30"), ["build_id", "entity_id"]).join(n, "build_id").select("build_id", "entity_id", "ord", F.log(F.col("n") / F.col("df")).alias("w"))
-    # an entity is in at most thirty sections here, so its pairs are bounded
+    x = m.join(f.filter("df BETWEEN 2 AND 100"), ["build_id", "entity_id"]).join(n, "build_id").select("build_id", "entity_id", "ord", F.log(F.col("n") / F.col("df")).alias("w"))
+    # the bridge rule: only an entity of at most a hundred sections joins two, so its pairs are bounded
     return x.withColumnRenamed("ord", "a").join(x.select("build_id", "entity_id", F.col("ord").alias("b")), ["build_id", "entity_id"]).filter("a <> b").groupBy("build_id", "a", "b").agg(F.round(F.sum("w"), 6).alias("s"))
 
 
