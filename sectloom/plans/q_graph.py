@@ -231,13 +231,6 @@ def n27(spark, d):
     return m.select("build_id", "entity_id", "ord").join(n, ["build_id", "entity_id", "ord"]).groupBy("build_id", F.col("ord").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@CORE("n28_candidate_communities", sql=f"WITH {_S}, q AS (SELECT build_id, ord, ord % 10 AS topic FROM sect_node), c AS (SELECT build_id, topic, cid, count(*) AS n FROM q JOIN s USING (build_id, ord) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY build_id, topic ORDER BY n DESC, cid) AS rank FROM c) SELECT build_id, topic, cid, n, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
-def n28(spark, d):
-    """The three communities that hold most of each group of sections."""
-    q = _members(spark, d).withColumn("topic", F.col("ord") % 10)
-    return top(q.groupBy("build_id", "topic", "cid").agg(F.count(F.lit(1)).alias("n")), ["build_id", "topic"], [F.col("n").desc(), F.col("cid")], 3)
-
-
 @CORE("n29_weighted_sample", sql=f"WITH {_S}, z AS (SELECT build_id, cid, count(*) AS n FROM s GROUP BY ALL), u AS (SELECT *, (CAST(('0x' || md5('w:' || build_id || ':' || cid)[1:12]) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM z), r AS (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY round(ln(u) / sqrt(n), 9) DESC, cid) AS draw FROM u) SELECT build_id, cid, n, CAST(draw AS INT) AS draw FROM r WHERE draw <= 5")
 def n29(spark, d):
     """Five communities of each build drawn with chances by the root of their size (a sampling operator)."""
