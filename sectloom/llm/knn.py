@@ -24,7 +24,7 @@ SETTLED = 0.002
 #: Neighbours of each direction whose pairs a round compares.
 JOIN = 8
 #: Neighbouring leaves of the first tree whose rows' pairs are compared in one task.
-NEAR = 2
+NEAR = 8
 #: Copies of one vector that stand for all of them in a list; must exceed the k asked for.
 COPIES = 16
 
@@ -119,6 +119,11 @@ def best_of(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(sims, -k, axis=1)[:, -k:] if sims.shape[1] > k else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
 
 
+def best_lists(pairs: DataFrame, k: int) -> DataFrame:
+    """The same for pairs that may be repeated, of which no a has very many: moved once, by a, for both steps."""
+    return top_lists(pairs.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s")), k)
+
+
 def top_lists(pairs: DataFrame, k: int) -> DataFrame:
     """(a, b, s): the k most similar b of each a; ties: the lesser b. The limit acts before the shuffle,
     so an a with very many partners is cut down in every task."""
@@ -231,10 +236,13 @@ def links_of(graph: DataFrame) -> DataFrame:
 def round_pairs(links: DataFrame, before: DataFrame | None, codes: DataFrame) -> DataFrame:
     """(a, b): pairs of rows that share a neighbour and no leaf; a < b. Pairs of which both links stood in the
     links of the round before were compared then, and are left out."""
-    old = before.withColumn("old", F.lit(True)) if before is not None else None
-    both = links.withColumn("old", F.lit(False)) if old is None else links.join(old, ["u", "x"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
+    if before is None:
+        both = links.withColumn("old", F.lit(False))
+    else:  # only rows that got a link have pairs to compare
+        fresh = links.join(before, ["u", "x"], "left_anti").withColumn("new", F.lit(True))
+        both = links.join(fresh.select("u").distinct(), "u", "left_semi").join(fresh, ["u", "x"], "left").select("u", "x", F.col("new").isNull().alias("old"))
     both = both.join(codes.select(F.col("id").alias("x"), "leaves"), "x")
-    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves", "old")).alias("m")).filter(F.exists("m", lambda r: ~r["old"]))  # at most 2 * JOIN
+    groups = both.groupBy("u").agg(F.collect_list(F.struct("x", "leaves", "old")).alias("m"))  # at most 2 * JOIN
 
     def work(it):
         for pdf in it:
@@ -278,7 +286,7 @@ def compare(pairs: DataFrame, codes: DataFrame, dim: int) -> DataFrame:
 def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP) -> DataFrame:
     """(a, b, s): the neighbour graph of the routed vectors, improved by rounds of neighbours of neighbours
     until a round changes at most SETTLED of all entries. Lists only improve, so the rounds end."""
-    graph = cut(top_lists(leaf_graph(codes, dim, keep).groupBy("a", "b").agg(F.max("s").alias("s")), keep), "graph")
+    graph = cut(best_lists(leaf_graph(codes, dim, keep), keep), "graph")
     rows = codes.count()
     before = None
     while True:
@@ -289,7 +297,7 @@ def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP) -> DataFrame:
         new = cut(new.join(graph.select("a", "b"), ["a", "b"], "left_anti"), "new")
         changed = new.count()
         if changed:
-            merged = cut(top_lists(graph.unionByName(new).groupBy("a", "b").agg(F.max("s").alias("s")), keep), "graph")
+            merged = cut(best_lists(graph.unionByName(new), keep), "graph")
             release(graph)
             graph = merged
         release(pairs)
