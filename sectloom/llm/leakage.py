@@ -122,7 +122,7 @@ class ItemIndex:
         self.words = dict(items)
         self.order = [k for k, _ in items]
         self.length = np.array([len(ws) for _, ws in items])
-        starts = np.cumsum([0, *self.length])
+        self.starts = starts = np.cumsum([0, *self.length])
         self.flat = np.array([word_hash(w) for _, ws in items for w in ws], np.uint64)
         self.number = np.repeat(np.arange(len(items)), self.length) if len(items) else np.empty(0, np.int64)
         _, code = np.unique(self.flat, return_inverse=True)
@@ -180,12 +180,34 @@ class ItemIndex:
         seen = np.unique(np.concatenate(seen))
         votes = np.bincount(seen // size, self.weight[seen % size], run[-1] + 1)
         first = np.flatnonzero(np.concatenate(([True], np.diff(run) != 0)))
-        for r, i, j in zip(range(len(first)), first, np.append(first[1:], len(run))):
-            item = int(own[i] % n)
-            if votes[r] >= self.least[item]:
-                k = int(own[i] // n)
-                start = int(last[k - 1]) if k else 0
-                yield lo + k, self.order[item], int(dw[i:j].min() - start), int(dw[i:j].max() - start) + g.w - 1
+        until = np.append(first[1:], len(run))
+        item, doc = own[first] % n, own[first] // n
+        begin = np.concatenate(([0], last[:-1]))
+        ok = np.flatnonzero(votes >= self.least[item])
+        ok = ok[self._aligned(item[ok], (dw - at)[first[ok]], begin[doc[ok]], last[doc[ok]], h_)]
+        for r in ok:
+            i, j, start = first[r], until[r], begin[doc[r]]
+            yield lo + int(doc[r]), self.order[item[r]], int(dw[i:j].min() - start), int(dw[i:j].max() - start) + g.w - 1
+
+    def _aligned(self, item: np.ndarray, shift: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether some half of the item has as many words near the alignment's diagonal in the document as a run with all
+        its replaced and divided words has: exact word shingles in place of the fingerprints."""
+        size = self.length[item]
+        which = np.repeat(np.arange(len(item)), size)
+        pos = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        word = self.starts[item][which] + pos
+        at = word + shift[which]
+        eq = np.zeros(len(which), bool)
+        for s in range(-SLACK, SLACK + 1):
+            q = at + s
+            inside = (q >= begin[which]) & (q < end[which])
+            eq |= inside & (h[np.clip(q, 0, len(h) - 1)] == self.flat[word])
+        half = -(-size // 2)
+        total = np.concatenate(([0], np.cumsum(eq)))
+        whole = np.flatnonzero(pos + half[which] <= size[which])
+        most = np.zeros(len(item), np.int64)
+        np.maximum.at(most, which[whole], total[whole + half[which[whole]]] - total[whole])
+        return most >= half - half // PER_REPLACED - 2
 
 
 def longest_run(item: list[str], doc: list[str]) -> int:
