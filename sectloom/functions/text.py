@@ -43,10 +43,14 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\\n\\s*\\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
+# fixed value: titles of reference lists, after numbering
+REFERENCE = "(?i)^\\W*(?:[0-9ivx]+[.):]?\\s+|appendix\\s+\\w+[.:]?\\s+)?(?:selected\\s+|cited\\s+)?(?:references?(?:\\s+(?:list|cited|and\\s+notes))?|bibliography|works\\s+cited|literature\\s+cited|citations?|notes\\s+and\\s+references)\\W*$"
+
+
 def is_reference(title: Column) -> Column:
     """True if a section title is a references phrase, numbering aside."""
     t = F.trim(F.regexp_replace(title, "^\\s*#{1,6}\\s+", ""))
-    return F.coalesce(t.rlike("(?i)^\\W*(?:[0-9ivx]+[.):]?\\s+|appendix\\s+\\w+[.:]?\\s+)?(?:selected\\s+|cited\\s+)?(?:references?(?:\\s+(?:list|cited|and\\s+notes))?|bibliography|works\\s+cited|literature\\s+cited|citations?|notes\\s+and\\s+references)\\W*$"), F.lit(False))
+    return F.coalesce(t.rlike(REFERENCE), F.lit(False))
 
 
 def is_junk(text: Column) -> Column:
@@ -108,6 +112,7 @@ def wiki_title(page: Column) -> Column:
     return F.when(t != "", t)
 
 
+# fixed value: stems of paper files, as id, version and methods extract
 STEM = "^(\\d{4}_\\d{4,5}|[a-z\\-]+(?:\\.[A-Z]{2})?_\\d{7})(?:v(\\d+))?(_methods)?$"
 
 

@@ -68,14 +68,14 @@ def best_reach(paths: DataFrame) -> DataFrame:
     return paths.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def cheapest_paths(sym: DataFrame, seeds: DataFrame, damp: float, rounds: int = 8) -> DataFrame:
+def cheapest_paths(sym: DataFrame, seeds: DataFrame, damp: float) -> DataFrame:
     """(build_id, seed, node, cost): least cost of -ln(strength) plus ``damp`` ln(degree) of inner nodes, by
     rounds of relaxation until nothing improves."""
     deg = sym.groupBy("build_id", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
     e = cut(sym.select("build_id", F.col("a").alias("node"), F.col("b").alias("next"), (-F.log(F.least("s", F.lit(1.0)))).alias("c")).join(deg, ["build_id", "node"]), "costs")
     best = cut(seeds.select("build_id", "seed", F.col("seed").alias("node"), F.lit(0.0).alias("cost")), "best")
     front = best
-    for _ in range(rounds):
+    while True:  # costs only fall, and paths that grow by no cost are not taken again
         inner = F.when(F.col("node") == F.col("seed"), 0.0).otherwise(damp * F.log("deg"))
         cand = front.join(e, ["build_id", "node"]).groupBy("build_id", "seed", F.col("next").alias("node")).agg(F.min(F.col("cost") + F.col("c") + inner).alias("new"))
         j = cut(best.join(cand, ["build_id", "seed", "node"], "full_outer").select("build_id", "seed", "node", "cost", "new"), "relaxed")
@@ -133,8 +133,12 @@ def betweenness(sym: DataFrame, sources: DataFrame) -> DataFrame:
     return j.mapInPandas(brandes, "build_id long, id int, score double").groupBy("build_id", "id").agg(F.sum("score").alias("score"))
 
 
-def louvain_labels(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, passes: int = 30) -> np.ndarray:
-    """Communities of a graph by local moving and merging; nodes in order of number, ties to the least community."""
+def louvain_labels(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, passes: int = 30, seed: int = 0) -> np.ndarray:
+    """Communities of a graph by local moving and merging; nodes in order of number, or shuffled by a ``seed`` above 0; ties
+    to the least community."""
+    if seed:
+        order = np.random.default_rng(seed).permutation(n)
+        return louvain_labels(n, order[src], order[dst], w, resolution, passes)[order]
     lab = np.arange(n)
     cur_src, cur_dst, cur_w, size = src, dst, w, n
     total = 2.0 * w.sum()
@@ -182,11 +186,12 @@ def louvain_labels(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, reso
 
 
 def louvain(edges: DataFrame, by: list[str], resolution: float = 1.0) -> DataFrame:
-    """(by, id, cid): communities of each group's graph (a, b, s), one task a group; numbered by their least member."""
+    """(by, id, cid): communities of each group's graph (a, b, s), one task a group; numbered by their least member. Columns
+    ``resolution`` and ``seed`` of the edges hold for their group."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, inv = np.unique(np.concatenate([pdf.a.values, pdf.b.values]), return_inverse=True)
         m = len(pdf)
-        lab = louvain_labels(len(ids), inv[:m], inv[m:], pdf.s.values.astype(float), float(pdf["resolution"].iloc[0]) if "resolution" in pdf else resolution)
+        lab = louvain_labels(len(ids), inv[:m], inv[m:], pdf.s.values.astype(float), float(pdf["resolution"].iloc[0]) if "resolution" in pdf else resolution, seed=int(pdf["seed"].iloc[0]) if "seed" in pdf else 0)
         least = np.full(lab.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, lab, ids)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "id": ids, "cid": least[lab]})
@@ -195,6 +200,77 @@ def louvain(edges: DataFrame, by: list[str], resolution: float = 1.0) -> DataFra
     return edges.groupBy(*by).applyInPandas(work, f"{kinds}, id long, cid long")
 
 
+def consensus(edges: DataFrame, by: list[str], seeds: list[int]) -> DataFrame:
+    """(by, id, cid): communities of the edges whose ends are together for at least half of the seeds, weighted by that share;
+    nodes that no such edge joins are communities of their own. ``by`` may hold the resolution."""
+    base = edges.select(*by, "a", "b", "s")
+    runs = cut(louvain(base.withColumn("seed", F.explode(F.array(*[F.lit(x) for x in seeds]))), [*by, "seed"]), "runs")
+    end = lambda c: runs.select(*by, "seed", F.col("id").alias(c), F.col("cid").alias(f"c{c}"))
+    j = base.join(end("a"), [*by, "a"]).join(end("b"), [*by, "seed", "b"])
+    kept = j.groupBy(*by, "a", "b").agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("s")).filter("s >= 0.5")
+    got = cut(louvain(kept, by), "consensus")
+    alone = runs.select(*by, "id").distinct().join(got.select(*by, "id"), [*by, "id"], "left_anti")
+    return got.unionByName(alone.select(*by, "id", F.col("id").alias("cid")))
+
+
+def seed_agreement(edges: DataFrame, by: list[str], resolutions: list[float], seeds: list[int]) -> DataFrame:
+    """(by, resolution, communities, ari): mean number of communities over seeds at each resolution, and the mean adjusted Rand
+    index of all pairs of seeds."""
+    e = edges.select(*by, "a", "b", "s", F.explode(F.array(*[F.lit(float(r)) for r in resolutions])).alias("resolution")).withColumn("seed", F.explode(F.array(*[F.lit(x) for x in seeds])))
+    at = [*by, "resolution"]
+    m = cut(louvain(e, [*at, "seed"]), "sweep")
+    y = m.select(*at, "id", F.col("seed").alias("seed2"), F.col("cid").alias("cid2"))
+    pairs = m.join(y, [*at, "id"]).filter("seed < seed2")  # as many rows a node as there are pairs of seeds
+    ari = adjusted_rand(pairs, "cid", "cid2", [*at, "seed", "seed2"]).groupBy(*at).agg(F.avg("ari").alias("ari"))
+    return m.groupBy(*at, "seed").agg(F.countDistinct("cid").alias("n")).groupBy(*at).agg(F.avg("n").alias("communities")).join(ari, at)
+
+
+def plateau(sweep: list[tuple[float, float, float]], target: float) -> float:
+    """The resolution of a sweep (resolution, communities, agreement) to serve: of the longest run of resolutions whose agreement
+    stays within 1.4826 median deviations of its successive differences (ties: the higher mean agreement), the one whose
+    number of communities is nearest ``target`` (ties: the lower resolution)."""
+    x = sorted(sweep)
+    a = np.array([r[2] for r in x])
+    step = np.diff(a)
+    jitter = 1.4826 * float(np.median(np.abs(step - np.median(step)))) if len(step) else 0.0
+    runs = [(i, j) for i in range(len(x)) for j in range(i, len(x)) if np.ptp(a[i : j + 1]) <= jitter or i == j]
+    i, j = max(runs, key=lambda r: (r[1] - r[0], a[r[0] : r[1] + 1].mean(), -r[0]))
+    return min(x[i : j + 1], key=lambda r: (abs(r[1] - target), r[0]))[0]
+
+
+def split_oversize(edges: DataFrame, members: DataFrame, by: list[str], gate: float = 0.8, levels: int = 3) -> DataFrame:
+    """(by, id, cid, coarse): communities of more members than the root of their graph's number of edges are divided inside their own
+    induced graph, up to ``levels`` times: consensus over seeds at twice the resolution, kept only if three consensus runs
+    agree to ``gate``; ``coarse`` is the label before. Parts are named by their least member."""
+    bound = edges.groupBy(*by).agg(F.sqrt(F.count(F.lit(1))).alias("bound"))
+    cur = cut(members.select(*by, "id", "cid", F.col("cid").alias("coarse")), "members")
+    for level in range(levels):
+        size = cur.groupBy(*by, "cid").agg(F.count(F.lit(1)).alias("n")).join(bound, by)
+        big = cut(size.filter("n > bound").select(*by, "cid"), "big")
+        if not big.limit(1).count():
+            break
+        inside = cur.join(big, [*by, "cid"], "left_semi")
+        end = lambda c: inside.select(*by, F.col("id").alias(c), F.col("cid").alias(f"c{c}"))
+        sub = edges.join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"]).filter("ca = cb").select(*by, F.col("ca").alias("part"), "a", "b", "s", F.lit(2.0 ** (level + 1)).alias("resolution"))
+        sub = cut(sub, "inside")
+        at = [*by, "part", "resolution"]
+        runs = None
+        for k in range(3):
+            c = consensus(sub, at, [10 * k + i + 1 for i in range(3)]).withColumn("run", F.lit(k))
+            runs = c if runs is None else runs.unionByName(c)
+        runs = cut(runs, "runs")
+        y = runs.select(*at, "id", F.col("run").alias("run2"), F.col("cid").alias("cid2"))
+        agree = adjusted_rand(runs.join(y, [*at, "id"]).filter("run < run2"), "cid", "cid2", [*at, "run", "run2"]).groupBy(*at).agg(F.avg("ari").alias("ari"))
+        ok = agree.filter(F.col("ari") >= gate).select(*by, "part")
+        new = runs.filter("run = 0").join(ok, [*by, "part"], "left_semi").select(*by, "id", F.col("cid").alias("new"))
+        nxt = cut(cur.join(new, [*by, "id"], "left").select(*by, "id", F.coalesce("new", "cid").alias("cid"), "coarse"), "members")
+        moved = nxt.join(cur.select(*by, "id", F.col("cid").alias("was")), [*by, "id"]).filter("cid <> was").limit(1).count()
+        cur = nxt
+        if not moved:
+            break
+    return cur
+
+
 def modularity(e: DataFrame, member: DataFrame) -> DataFrame:
     """(build_id, q): weighted modularity of a partition (build_id, id, cid)."""
     x = e.join(member.select("build_id", F.col("id").alias("a"), F.col("cid").alias("ca")), ["build_id", "a"]).join(member.select("build_id", F.col("id").alias("b"), F.col("cid").alias("cb")), ["build_id", "b"])

@@ -79,7 +79,7 @@ def length_filter(df: DataFrame, key: str, text: str, z: float) -> DataFrame:
 
 def usable(df: DataFrame, title: str, text: str) -> DataFrame:
     """Rows with the first reason that excludes them: empty, reference, short (below the robust floor of log lengths), junk; else kept."""
-    ref = F.coalesce(F.trim(F.coalesce(title, F.lit(""))).rlike("(?i)^\\W*(?:[0-9ivx]+[.):]?\\s+)?(?:references?|bibliography)\\W*$"), F.lit(False))
+    ref = X.is_reference(F.col(title))
     x = df.withColumn("_ref", ref).withColumn("_n", F.length(text))
     b = x.filter("_n > 0 AND NOT _ref").select(F.log("_n").alias("x"))
     m = b.agg(F.median("x").alias("m"))

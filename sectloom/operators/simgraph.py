@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +49,37 @@ def bitmask_fuse(spaces: list[DataFrame]) -> DataFrame:
         x = s.select("a", "b", "z", F.lit(1 << i).alias("bit"))
         u = x if u is None else u.unionByName(x)
     return u.groupBy("a", "b").agg(F.bit_or("bit").alias("sig"), (F.greatest(F.avg("z"), F.lit(0.0)) + 1e-3).alias("weight"))
+
+
+def null_cut(counts: DataFrame, k: float) -> DataFrame:
+    """One row (lam, xmin, mu, sd, kurtosis, n, threshold) of a null given as counts (s, n) of positive similarities: powers by
+    likelihood as in :mod:`boxcox`, and the similarity whose z is ``k``, from the transform's inverse; 1 if none reaches it."""
+    cols = "lam double, xmin double, mu double, sd double, kurtosis double, n long, threshold double"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n = pdf.s.values - pdf.s.min() + 1e-3, pdf.n.values.astype(float)
+        total, logs = n.sum(), float((n * np.log(x)).sum())
+
+        def curve(lam: float) -> np.ndarray:
+            return np.log(x) if abs(lam) < 1e-9 else (x**lam - 1) / lam
+
+        def llf(lam: float) -> float:
+            y = curve(lam)
+            mu = (n * y).sum() / total
+            return (lam - 1) * logs - total / 2 * np.log(max((n * (y - mu) ** 2).sum() / total, 1e-300))
+
+        grid, step = [g / 100 for g in boxcox.GRID], 0.25
+        for finer in (*boxcox.FINER, None):
+            lam = max(grid, key=lambda v: (llf(v), -abs(v - 1)))
+            if finer:
+                grid = [lam + i * finer for i in range(-10, 11)]
+        y = curve(lam)
+        mu = float((n * y).sum() / total)
+        sd = float(np.sqrt((n * (y - mu) ** 2).sum() / total))
+        kurt = float((n * (y - mu) ** 4).sum() / total / sd**4 - 3) if sd > 0 else 0.0
+        at = mu + k * sd
+        base = at if abs(lam) < 1e-9 else lam * at + 1
+        back = np.exp(at) if abs(lam) < 1e-9 else (base ** (1 / lam) if base > 0 else np.inf)
+        return pd.DataFrame({"lam": [lam], "xmin": [pdf.s.min()], "mu": [mu], "sd": [sd], "kurtosis": [kurt], "n": [int(total)], "threshold": [min(1.0, float(back + pdf.s.min() - 1e-3))]})
+
+    return counts.groupBy(F.lit(0).alias("_g")).applyInPandas(fit, cols)

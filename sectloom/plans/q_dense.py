@@ -239,3 +239,46 @@ def g14(spark, d):
     """Neighbour edges within one label."""
     e = _emb(spark, d).select("vec_id", "label")
     return _dense_edges(spark, d).join(e.select(F.col("vec_id").alias("a"), F.col("label").alias("x")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("y")), "b").filter("x = y").select("a", "b")
+
+
+@CORE("g09_edge_export", sql=_P + ", y AS (SELECT a, b, s FROM p UNION ALL SELECT b, a, s FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM y), k AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, s FROM r WHERE r <= 15 AND s >= 0.5), tt AS (SELECT max(created_at) AS t FROM sect_build) SELECT src, dst, 'dense' AS provenance, s AS strength, NULL::DOUBLE AS sim_sparse, s AS sim_dense, t AS valid_from, NULL::TIMESTAMP AS valid_to, t AS ingested_at FROM k, tt")
+def g09(spark, d):
+    """Edges in the shape they are stored in: canonical ends, provenance, similarities, and the interval they are valid for."""
+    at = table(spark, d, "sect_build").agg(F.max("created_at").alias("valid_from"))  # one row
+    e = _dense_edges(spark, d).filter("s >= 0.5").crossJoin(F.broadcast(at))
+    return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("dense").alias("provenance"), F.col("s").alias("strength"), F.lit(None).cast("double").alias("sim_sparse"), F.col("s").alias("sim_dense"), "valid_from", F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.col("valid_from").alias("ingested_at"))
+
+
+@CORE("g10_null_cut")
+def g10(spark, d):
+    """The null of positive similarities, from seeded rows against all: Box-Cox power, mean, deviation, excess kurtosis, and the
+    similarity whose z is 2. Only counts at each similarity (20,001 at most) leave the tasks."""
+    e = _emb(spark, d)
+    c = D.similarity_counts(e, "vec_id", "v", 4, _seeded(e)).filter("s > 0.02")
+    return S.null_cut(c, 2.0)
+
+
+@CORE("g15_sparse_only", sql=_COS + ", y AS (SELECT a, b, s FROM p UNION ALL SELECT b, a, s FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM y), k AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s AS z FROM r WHERE r <= 5 AND s > 0), o AS (SELECT min(z) AS lo, max(z) AS hi FROM k) SELECT a, b, 'sparse' AS provenance, CASE WHEN hi > lo THEN round((z - lo) / (hi - lo), 6) ELSE 1 END AS strength FROM k, o")
+def g15(spark, d):
+    """The graph without any dense space: lexical neighbours alone, fused with nothing."""
+    n = L.nearest_rows(_unit(spark, d), "record_id", 5)
+    x = cut(n.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("s").alias("z")).distinct(), "sparse")
+    return S.fuse(x, x.limit(0)).select("a", "b", "provenance", F.round("strength", 6).alias("strength"))
+
+
+@CORE("c01_section_communities")
+def c01(spark, d):
+    """Communities of at least five sections of the lexical neighbour graph, with their size, five keywords by summed weight, and the
+    medoid: the section whose unit row is most like the sum of all of its community, so nearest to all members together."""
+    from sectloom.operators import graph as G
+
+    u = cut(_unit(spark, d), "unit")
+    n = L.nearest_rows(u, "record_id", 5)
+    e = n.select(F.lit(0).alias("g"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").distinct()
+    m = cut(G.louvain(e, ["g"]).select(F.col("id").alias("record_id"), "cid"), "members")
+    size = m.groupBy("cid").agg(F.count(F.lit(1)).alias("size")).filter("size >= 5")
+    x = u.join(m.join(size, "cid"), "record_id")
+    mass = x.groupBy("cid", "term").agg(F.round(F.sum("u"), 9).alias("mass"))
+    words = L.top(mass, ["cid"], [F.col("mass").desc(), F.col("term")], 5).groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda r: r["term"]).alias("keywords"))
+    mid = x.join(mass, ["cid", "term"]).groupBy("cid", "record_id").agg(F.round(F.sum(F.col("u") * F.col("mass")), 9).alias("c")).groupBy("cid").agg(F.max_by("record_id", F.struct("c", -F.col("record_id"))).alias("medoid"))
+    return size.join(words, "cid").join(mid, "cid").select("cid", "size", F.array_join("keywords", " ").alias("keywords"), "medoid")

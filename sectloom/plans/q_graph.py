@@ -114,13 +114,22 @@ def n14(spark, d):
     return c.join(s.select("build_id", F.col("seed").alias("node")), ["build_id", "node"], "left_semi").filter("seed < node").select("build_id", "seed", "node", F.round("cost", 6).alias("cost"))
 
 
-@CORE("n15_stability", sql=_WALK + ", t AS (SELECT build_id, seed, node FROM (SELECT *, row_number() OVER (PARTITION BY build_id, seed ORDER BY round(score, 9) DESC, node) AS k FROM bb WHERE r = 1) WHERE k <= 10), z AS (SELECT build_id, seed, list(node) AS l FROM t GROUP BY ALL) SELECT x.build_id, x.seed AS sa, z.seed AS sb, round(len(list_intersect(x.l, z.l)) / len(list_distinct(list_concat(x.l, z.l))), 6) AS jaccard FROM z x JOIN z ON z.build_id = x.build_id AND x.seed < z.seed")
+_U = "(CAST(('0x' || md5('{g}:' || build_id || ':' || seed || ':' || node)[1:12]) AS BIGINT) + 0.5) / 281474976710656.0"
+_DRAWS = " UNION ALL ".join(f"SELECT build_id, seed, node, {i} AS draw FROM (SELECT build_id, seed, node, row_number() OVER (PARTITION BY build_id, seed ORDER BY round(score / 0.3 - ln(-ln({_U.format(g=f'd{i}')})), 9) DESC, node) AS r FROM bb WHERE r = 1) WHERE r <= 5" for i in range(3))
+
+
+@CORE("n15_stability", sql=_WALK + f", t AS ({_DRAWS}), z AS (SELECT build_id, seed, draw, list(node) AS l FROM t GROUP BY ALL) SELECT x.build_id, x.seed, round(avg(len(list_intersect(x.l, z.l)) / len(list_distinct(list_concat(x.l, z.l)))), 6) AS stability FROM z x JOIN z ON z.build_id = x.build_id AND z.seed = x.seed AND x.draw < z.draw GROUP BY x.build_id, x.seed")
 def n15(spark, d):
-    """Jaccard overlap of the ten best nodes of each two seeds."""
-    t = top(_walk(spark, d).select("build_id", "seed", "node", "score"), ["build_id", "seed"], [F.round("score", 9).desc(), F.col("node")], 10)
-    z = t.groupBy("build_id", "seed").agg(F.collect_set("node").alias("l"))
-    x, y = z.select("build_id", F.col("seed").alias("sa"), F.col("l").alias("la")), z.select("build_id", F.col("seed").alias("sb"), F.col("l").alias("lb"))
-    return x.join(y, "build_id").filter("sa < sb").select("build_id", "sa", "sb", F.round(F.size(F.array_intersect("la", "lb")) / F.size(F.array_union("la", "lb")), 6).alias("jaccard"))
+    """Stability of sampled neighbourhoods: mean Jaccard overlap of each two of three draws of five nodes."""
+    w = cut(_walk(spark, d).select("build_id", "seed", "node", "score"), "walk")
+    t = None
+    for i in range(3):
+        x = G.gumbel_sample(w, ["build_id", "seed"], "node", "score", 0.3, 5, f"d{i}").select("build_id", "seed", "node", F.lit(i).alias("draw"))
+        t = x if t is None else t.unionByName(x)
+    z = cut(t.groupBy("build_id", "seed", "draw").agg(F.collect_set("node").alias("l")), "draws")  # five nodes each
+    y = z.select("build_id", "seed", F.col("draw").alias("draw2"), F.col("l").alias("l2"))
+    j = z.join(y, ["build_id", "seed"]).filter("draw < draw2")
+    return j.groupBy("build_id", "seed").agg(F.round(F.avg(F.size(F.array_intersect("l", "l2")) / F.size(F.array_union("l", "l2"))), 6).alias("stability"))
 
 
 @CORE("n16_degrees", sql=_Y + " SELECT build_id, a AS id, count(*) AS degree, round(sum(s), 5) AS strength FROM y GROUP BY ALL")
@@ -223,12 +232,18 @@ def n25(spark, d):
     return m.select("build_id", "ord", F.row_number().over(w("c")).alias("r1"), F.row_number().over(w("k")).alias("r2")).select("build_id", "ord", F.round(1.0 / (60 + F.col("r1")) + 1.0 / (60 + F.col("r2")), 8).alias("rrf"))
 
 
-@CORE("n27_shared_entities", sql=MENTIONS + " SELECT x.build_id, x.ord AS a, z.ord AS b, count(*) AS shared FROM m x JOIN m z ON z.build_id = x.build_id AND z.entity_id = x.entity_id AND z.ord = x.ord + 1 GROUP BY ALL")
+_BRIDGES = MENTIONS + ", p AS (SELECT x.build_id, x.ord AS a, z.ord AS b, round(sum(ln(n.n / f.df)), 6) AS s FROM m x JOIN m z ON z.build_id = x.build_id AND z.entity_id = x.entity_id AND z.ord <> x.ord JOIN f ON f.build_id = x.build_id AND f.entity_id = x.entity_id JOIN n ON n.build_id = x.build_id WHERE f.df BETWEEN 2 AND 100 GROUP BY ALL), nb AS (SELECT build_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY build_id, a ORDER BY s DESC, b) AS r FROM p) WHERE r <= 5)"
+
+
+@CORE("n27_shared_entities", sql=_BRIDGES + " SELECT build_id, a, b, entity_id, CAST(rank AS INT) AS rank FROM (SELECT nb.build_id, nb.a, nb.b, x.entity_id, row_number() OVER (PARTITION BY nb.build_id, nb.a, nb.b ORDER BY df, x.entity_id) AS rank FROM nb JOIN m x ON x.build_id = nb.build_id AND x.ord = nb.a JOIN m z ON z.build_id = nb.build_id AND z.ord = nb.b AND z.entity_id = x.entity_id JOIN f ON f.build_id = nb.build_id AND f.entity_id = x.entity_id WHERE df <= 100) WHERE rank <= 3")
 def n27(spark, d):
-    """Entities that neighbouring sections share."""
+    """Why two neighbouring sections are joined: the three rarest entities both name."""
     m = mentions(spark, d)
-    n = m.select("build_id", "entity_id", (F.col("ord") - 1).alias("ord"), F.col("ord").alias("b"))
-    return m.select("build_id", "entity_id", "ord").join(n, ["build_id", "entity_id", "ord"]).groupBy("build_id", F.col("ord").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
+    f = m.groupBy("build_id", "entity_id").agg(F.count(F.lit(1)).alias("df")).filter("df <= 100")
+    nb = cut(top(_shared(spark, d), ["build_id", "a"], [F.col("s").desc(), F.col("b")], 5).select("build_id", "a", "b"), "neighbours")
+    x = m.join(f, ["build_id", "entity_id"]).select("build_id", "entity_id", "ord", "df")
+    j = nb.join(x.withColumnRenamed("ord", "a"), ["build_id", "a"]).join(x.select("build_id", "entity_id", F.col("ord").alias("b")), ["build_id", "entity_id", "b"])
+    return top(j, ["build_id", "a", "b"], [F.col("df"), F.col("entity_id")], 3).select("build_id", "a", "b", "entity_id", "rank")
 
 
 @CORE("n29_weighted_sample", sql=f"WITH {_S}, z AS (SELECT build_id, cid, count(*) AS n FROM s GROUP BY ALL), u AS (SELECT *, (CAST(('0x' || md5('w:' || build_id || ':' || cid)[1:12]) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM z), r AS (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY round(ln(u) / sqrt(n), 9) DESC, cid) AS draw FROM u) SELECT build_id, cid, n, CAST(draw AS INT) AS draw FROM r WHERE draw <= 5")
@@ -263,31 +278,61 @@ def c02b(spark, d):
     return G.modularity(e, m).join(n, "build_id").join(c, "build_id").select("build_id", F.round("q", 6).alias("q"), "communities", (F.col("nodes") == F.col("labelled")).alias("covers"))
 
 
-@CORE("c04_resolution_sweep")
-def c04(spark, d):
-    """Communities at five resolutions at once, with their number and agreement with resolution 1."""
-    e = edges(spark, d).withColumn("resolution", F.explode(F.array(*[F.lit(r) for r in (0.5, 0.75, 1.0, 1.5, 2.0)])))
-    m = cut(G.louvain(e, ["build_id", "resolution"]), "sweep")
-    one = m.filter("resolution = 1.0").select("build_id", "id", F.col("cid").alias("base"))
-    a = G.adjusted_rand(m.join(one, ["build_id", "id"]), "cid", "base", ["build_id", "resolution"])
-    return m.groupBy("build_id", "resolution").agg(F.countDistinct("cid").alias("communities")).join(a, ["build_id", "resolution"]).withColumn("ari", F.round("ari", 6))
+_SWEEP = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0]
 
 
 @CORE("c03_consensus")
 def c03(spark, d):
-    """Consensus communities: edges whose ends agree at half or more of five resolutions, then communities of those."""
-    base = cut(edges(spark, d), "edges")
-    m = cut(G.louvain(base.withColumn("resolution", F.explode(F.array(*[F.lit(r) for r in (0.6, 0.8, 1.0, 1.2, 1.4)]))), ["build_id", "resolution"]), "sweep")
-    j = base.join(m.select("build_id", "resolution", F.col("id").alias("a"), F.col("cid").alias("ca")), ["build_id", "a"]).join(m.select("build_id", "resolution", F.col("id").alias("b"), F.col("cid").alias("cb")), ["build_id", "resolution", "b"])
-    agree = j.groupBy("build_id", "a", "b").agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("s")).filter("s >= 0.5")
-    return G.louvain(agree, ["build_id"])
+    """Consensus communities of the entity graph: together for at least half of five seeds."""
+    return G.consensus(cut(edges(spark, d), "edges"), ["build_id"], [1, 2, 3, 4, 5])
+
+
+def _sweep(spark, d):
+    return G.seed_agreement(cut(edges(spark, d), "edges"), ["build_id"], _SWEEP, [1, 2, 3])
 
 
-@CORE("c06_consensus_agreement")
+@CORE("c04_resolution_sweep")
+def c04(spark, d):
+    """Mean number of communities over three seeds at six resolutions, and how far the seeds agree."""
+    return _sweep(spark, d).select("build_id", "resolution", F.round("communities", 4).alias("communities"), F.round("ari", 6).alias("ari"))
+
+
+@CORE("c05_plateau_pick")
+def c05(spark, d):
+    """The resolution to serve of each build: on the longest flat stretch of seed agreement, nearest to as many communities as its
+    sections carry. A sweep is six rows a build."""
+    import pandas as pd
+
+    want = _members(spark, d).groupBy("build_id").agg(F.countDistinct("cid").cast("double").alias("want"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = G.plateau(list(zip(pdf.resolution, pdf.communities, pdf.ari)), float(pdf.want.iloc[0]))
+        return pd.DataFrame({"build_id": [pdf.build_id.iloc[0]], "resolution": [r], "want": [pdf.want.iloc[0]]})
+
+    return _sweep(spark, d).join(want, "build_id").groupBy("build_id").applyInPandas(pick, "build_id long, resolution double, want double")
+
+
+@CORE("c06_consensus_gate")
 def c06(spark, d):
-    """Adjusted Rand index of stored communities and papers: how far papers stay in one community."""
-    s = _members(spark, d).join(sections(spark, d).select("build_id", "ord", "doc_id"), ["build_id", "ord"])
-    return G.adjusted_rand(s, "cid", "doc_id", ["build_id"]).withColumn("ari", F.round("ari", 6))
+    """Three consensus runs of three seeds each: the communities of the first, their mean agreement, and whether it reaches 0.8."""
+    e = cut(edges(spark, d), "edges")
+    runs = None
+    for k in range(3):
+        c = G.consensus(e, ["build_id"], [10 * k + 1, 10 * k + 2, 10 * k + 3]).withColumn("run", F.lit(k))
+        runs = c if runs is None else runs.unionByName(c)
+    runs = cut(runs, "runs")
+    y = runs.select("build_id", "id", F.col("run").alias("run2"), F.col("cid").alias("cid2"))
+    a = G.adjusted_rand(runs.join(y, ["build_id", "id"]).filter("run < run2"), "cid", "cid2", ["build_id", "run", "run2"]).groupBy("build_id").agg(F.avg("ari").alias("ari"))
+    n = runs.filter("run = 0").groupBy("build_id").agg(F.countDistinct("cid").alias("communities"))
+    return n.join(a, "build_id").select("build_id", "communities", F.round("ari", 6).alias("ari"), (F.col("ari") >= 0.8).alias("passes"))
+
+
+@CORE("c07_oversize_split")
+def c07(spark, d):
+    """Entity communities with more members than the root of the number of edges, divided inside their own graph where consensus
+    runs agree; with the label before."""
+    e = cut(edges(spark, d), "edges")
+    return G.split_oversize(e, G.louvain(e, ["build_id"]), ["build_id"])
 
 
 @CORE("c09_community_term_labels")
@@ -379,13 +424,66 @@ def c13(spark, d):
     return exemplars(e, "vec_id", "label", "embedding", 3)
 
 
-@CORE("c17_entity_composition")
+@CORE("c17_entity_composition", sql=MENTIONS + f", {_S}, nn AS (SELECT build_id, count(*) AS n FROM sect_node GROUP BY build_id), k AS (SELECT build_id, cid, entity_id, count(*) AS n_in FROM m JOIN s USING (build_id, ord) GROUP BY ALL), r AS (SELECT build_id, cid, entity_id, n_in, round(n_in * ln(nn.n / df), 6) AS score FROM k JOIN f USING (build_id, entity_id) JOIN nn USING (build_id) WHERE df <= 2000) SELECT build_id, cid, entity_id, n_in, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY build_id, cid ORDER BY score DESC, entity_id) AS rank FROM r) WHERE rank <= 6")
 def c17(spark, d):
-    """Six terms of each community, words of one not within another's."""
-    from sectloom.plans.q_stats import _community_table
+    """The six entities that most characterise each community's sections, by sections times ln(N / df), of those in at most 2,000
+    sections. Entities are numbers in these tables; where they have names, ``distinct_surfaces`` drops one within another."""
+    m = mentions(spark, d)
+    f = m.groupBy("build_id", "entity_id").agg(F.count(F.lit(1)).alias("df")).filter("df <= 2000")
+    n = sections(spark, d).groupBy("build_id").agg(F.count(F.lit(1)).alias("n"))
+    k = m.join(_members(spark, d), ["build_id", "ord"]).groupBy("build_id", "cid", "entity_id").agg(F.count(F.lit(1)).alias("n_in"))
+    x = k.join(f, ["build_id", "entity_id"]).join(n, "build_id").select("build_id", "cid", "entity_id", "n_in", F.round(F.col("n_in") * F.log(F.col("n") / F.col("df")), 6).alias("score"))
+    return top(x, ["build_id", "cid"], [F.col("score").desc(), F.col("entity_id")], 6)
+
+
+@CORE("c15_paper_spread", sql="WITH p AS (SELECT build_id, community AS cid, doc_id, count(*) AS k FROM sect_node WHERE community >= 0 GROUP BY ALL) SELECT build_id, cid, CAST(sum(k) AS BIGINT) AS size, count(*) AS papers, min_by(doc_id, (-k, doc_id)) AS top_paper, round(max(k) / sum(k), 6) AS top_share FROM p GROUP BY build_id, cid")
+def c15(spark, d):
+    """How each community spreads over papers: how many, and the one that holds most of it."""
+    p = sections(spark, d).filter("community >= 0").groupBy("build_id", F.col("community").alias("cid"), "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    return p.groupBy("build_id", "cid").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("papers"), F.min_by("doc_id", F.struct(-F.col("k"), "doc_id")).alias("top_paper"), F.round(F.max("k") / F.sum("k"), 6).alias("top_share"))
+
+
+@CORE("c22_cross_community", sql=_QG + ", u AS (SELECT build_id, a AS id, ca AS cid, cb AS other FROM q WHERE ca <> cb UNION ALL SELECT build_id, b, cb, ca FROM q WHERE ca <> cb) SELECT build_id, id, cid, count(DISTINCT other) AS foreign_communities, count(*) AS foreign_edges FROM u GROUP BY ALL")
+def c22(spark, d):
+    """Entities with edges into other communities than their own: how many communities and edges."""
+    q = _homed_edges(spark, d).filter("ca <> cb")
+    u = q.select("build_id", F.col("a").alias("id"), F.col("ca").alias("cid"), F.col("cb").alias("other")).unionByName(q.select("build_id", F.col("b").alias("id"), F.col("cb").alias("cid"), F.col("ca").alias("other")))
+    return u.groupBy("build_id", "id", "cid").agg(F.countDistinct("other").alias("foreign_communities"), F.count(F.lit(1)).alias("foreign_edges"))
+
+
+_MED = _WALK + ", wt AS (SELECT build_id, seed, node, score FROM bb WHERE r = 1), cc AS (SELECT x.build_id, x.seed, x.node, round(x.score * sum(z.score * y.s), 9) AS c FROM wt x JOIN y ON y.build_id = x.build_id AND y.a = x.node JOIN wt z ON z.build_id = x.build_id AND z.seed = x.seed AND z.node = y.b GROUP BY x.build_id, x.seed, x.node, x.score)"
 
-    t = _community_table(spark, d).select("cid", "term", F.round(F.col("a") * F.log(F.col("n") / F.col("c")), 6).alias("score"))
-    return distinct_surfaces(top(t, ["cid"], [F.col("score").desc(), F.col("term")], 48), "cid", "term", "score", 6)
+
+@CORE("c23_local_medoid", sql=_MED + " SELECT build_id, seed, min_by(node, (-c, node)) AS medoid, round(max(c), 6) AS centrality FROM cc GROUP BY build_id, seed")
+def c23(spark, d):
+    """The node most central to what each walk found: its score times the summed score and strength of its neighbours in the walk."""
+    y = _sym(spark, d)
+    w = cut(G.best_reach(G.expand_paths(y, _seeds(y), 2, 0.02)).select("build_id", "seed", "node", "score"), "walk")
+    z = w.select("build_id", "seed", F.col("node").alias("b"), F.col("score").alias("sb"))
+    c = w.join(y.withColumnRenamed("a", "node"), ["build_id", "node"]).join(z, ["build_id", "seed", "b"]).groupBy("build_id", "seed", "node", "score").agg(F.sum(F.col("sb") * F.col("s")).alias("t"))
+    c = c.select("build_id", "seed", "node", F.round(F.col("score") * F.col("t"), 9).alias("c"))
+    return c.groupBy("build_id", "seed").agg(F.min_by("node", F.struct(-F.col("c"), "node")).alias("medoid"), F.round(F.max("c"), 6).alias("centrality"))
+
+
+@CORE("c25_catalogue", sql="WITH t AS (SELECT build_id, community AS cid, section_title AS title, count(*) AS k FROM sect_node WHERE community >= 0 GROUP BY ALL), z AS (SELECT build_id, cid, CAST(sum(k) AS BIGINT) AS size, min_by(title, (-k, title)) FILTER (title IS NOT NULL) AS title FROM t GROUP BY build_id, cid HAVING sum(k) > 1) SELECT build_id, cid, size, title, CAST(row_number() OVER (PARTITION BY build_id ORDER BY size DESC, cid) AS INT) AS rank FROM z")
+def c25(spark, d):
+    """Communities of more than one section, largest first, with their commonest section title."""
+    t = sections(spark, d).filter("community >= 0").groupBy("build_id", F.col("community").alias("cid"), F.col("section_title").alias("title")).agg(F.count(F.lit(1)).alias("k"))
+    best = F.min_by("title", F.when(F.col("title").isNotNull(), F.struct(-F.col("k"), "title")))
+    z = t.groupBy("build_id", "cid").agg(F.sum("k").alias("size"), best.alias("title")).filter("size > 1")
+    return top(z, ["build_id"], [F.col("size").desc(), F.col("cid")], 1 << 30)
+
+
+@CORE("c28_subgraph_communities")
+def c28(spark, d):
+    """Communities of each seed's neighbourhood alone; they are shown, never stored. Nodes no edge joins are their own."""
+    y = _sym(spark, d)
+    s = _seeds(y)
+    k = cut(G.best_reach(G.expand_paths(y, s, 2, 0.02)).select("build_id", "seed", "node").unionByName(s.withColumn("node", F.col("seed"))).distinct(), "inside")
+    e = edges(spark, d).join(k.select("build_id", "seed", F.col("node").alias("a")), ["build_id", "a"]).join(k.select("build_id", "seed", F.col("node").alias("b")), ["build_id", "seed", "b"])
+    g = cut(G.louvain(e.select("build_id", "seed", "a", "b", "s"), ["build_id", "seed"]), "parts")
+    alone = k.select("build_id", "seed", F.col("node").cast("long").alias("id")).join(g.select("build_id", "seed", "id"), ["build_id", "seed", "id"], "left_anti")
+    return g.unionByName(alone.withColumn("cid", F.col("id")))
 
 
 @CORE("c26_scorecard", sql=f"WITH {_S}, c AS (SELECT build_id, cid, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT build_id, cid, max(k) AS top FROM (SELECT s.build_id, s.cid, doc_id, count(*) AS k FROM s JOIN sect_node USING (build_id, ord) GROUP BY ALL) GROUP BY ALL), t AS (SELECT build_id, sum(n) AS t FROM c GROUP BY build_id) SELECT build_id, count(*) AS communities, max(n) AS largest, round(sum(CASE WHEN n > sqrt(t) THEN n ELSE 0 END) / any_value(t), 6) AS oversize_share, median(top / n) AS top_paper FROM c JOIN p USING (build_id, cid) JOIN t USING (build_id) GROUP BY build_id")

@@ -57,12 +57,17 @@ def l04(spark, d):
     return L.search(_w(spark, d), "record_id", _queries(spark, d), "item_id", "text", K)
 
 
-@CORE("l05_alias_expansion", sql="""WITH a AS (SELECT DISTINCT build_id, least(a, b) AS x, greatest(a, b) AS y FROM sect_entity_edge WHERE kind = 'alias' AND a IS NOT NULL AND b IS NOT NULL)
-SELECT build_id, x AS entity_id, y AS alias_id FROM a UNION SELECT build_id, y, x FROM a""")
+_ALIAS = """, al AS (SELECT DISTINCT build_id, least(a, b) AS x, greatest(a, b) AS y FROM sect_entity_edge WHERE kind = 'alias' AND a IS NOT NULL AND b IS NOT NULL AND a <> b), bo AS (SELECT build_id, x AS entity_id, y AS alias_id FROM al UNION ALL SELECT build_id, y, x FROM al)"""
+
+
+@CORE("l05_alias_expansion", sql=MENTIONS + _ALIAS + ", ex AS (SELECT build_id, entity_id, entity_id AS term_id FROM bo UNION SELECT build_id, entity_id, alias_id FROM bo) SELECT ex.build_id, ex.entity_id, count(DISTINCT CASE WHEN term_id = ex.entity_id THEN m.ord END) AS own, count(DISTINCT m.ord) AS expanded FROM ex LEFT JOIN m ON m.build_id = ex.build_id AND m.entity_id = term_id GROUP BY ALL")
 def l05(spark, d):
-    """Entities by their aliases, both ways."""
-    a = table(spark, d, "sect_entity_edge").filter("kind = 'alias' AND a IS NOT NULL AND b IS NOT NULL").select("build_id", F.least("a", "b").alias("entity_id"), F.greatest("a", "b").alias("alias_id"))
-    return a.unionByName(a.select("build_id", F.col("alias_id").alias("entity_id"), F.col("entity_id").alias("alias_id"))).distinct()
+    """Searches for an entity with and without its aliases as further OR terms: sections found by it alone, and by any of them."""
+    a = table(spark, d, "sect_entity_edge").filter("kind = 'alias' AND a IS NOT NULL AND b IS NOT NULL AND a <> b").select("build_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    both = a.select("build_id", F.explode(F.array(F.struct(F.col("x").alias("entity_id"), F.col("y").alias("term_id")), F.struct(F.col("y").alias("entity_id"), F.col("x").alias("term_id")))).alias("z")).select("build_id", "z.*")
+    ex = both.unionByName(both.select("build_id", "entity_id", F.col("entity_id").alias("term_id"))).distinct()
+    m = mentions(spark, d).select("build_id", F.col("entity_id").alias("term_id"), "ord")
+    return ex.join(m, ["build_id", "term_id"], "left").groupBy("build_id", "entity_id").agg(F.countDistinct(F.when(F.col("term_id") == F.col("entity_id"), F.col("ord"))).alias("own"), F.countDistinct("ord").alias("expanded"))
 
 
 @CORE("l06_term_stats", sql=POST + f", {QUERY}, t AS (SELECT DISTINCT term FROM q) SELECT t.term, coalesce(df, 0) AS df, coalesce(cf, 0) AS cf FROM t LEFT JOIN df USING (term)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sectloom.functions import stats
 from sectloom.functions import text as X
 from sectloom.functions.vec import dot, norm
+from sectloom.operators import lexical
 from sectloom.operators import lifecycle as Y
 from sectloom.operators.lexical import top
 from sectloom.plans.base import edges, mentions, post, sections, symmetric
@@ -25,10 +26,13 @@ def _chunks(spark, d):
     return table(spark, d, "lex_chunk_meta")
 
 
-@CORE("s01_latest_versions", sql="SELECT paper_id, max(version) AS version FROM documents WHERE paper_id IS NOT NULL AND trim(text, ' ') <> '' GROUP BY paper_id")
+@CORE("s01_latest_versions", sql="WITH st AS (SELECT doc_id AS paper_id, max(version) AS stored FROM lex_chunk_meta GROUP BY doc_id), p AS (SELECT paper_id, version, doc_id, row_number() OVER (PARTITION BY paper_id ORDER BY version DESC, doc_id) AS r FROM documents WHERE paper_id IS NOT NULL AND trim(text, ' ') <> '') SELECT p.paper_id, version, p.doc_id FROM p LEFT JOIN st USING (paper_id) WHERE r = 1 AND (stored IS NULL OR version > stored)")
 def s01(spark, d):
-    """Highest stored version of every paper with text."""
-    return table(spark, d, "documents").filter("paper_id IS NOT NULL AND trim(text) <> ''").groupBy("paper_id").agg(F.max("version").alias("version"))
+    """Papers to load: the newest version with text of each, unless one as new is stored."""
+    p = table(spark, d, "documents").filter("paper_id IS NOT NULL AND trim(text) <> ''").select("paper_id", "version", "doc_id")
+    w = Window.partitionBy("paper_id").orderBy(F.col("version").desc(), "doc_id")
+    st = _chunks(spark, d).groupBy(F.col("doc_id").alias("paper_id")).agg(F.max("version").alias("stored"))
+    return p.withColumn("_r", F.row_number().over(w)).filter("_r = 1").join(st, "paper_id", "left").filter("stored IS NULL OR version > stored").select("paper_id", "version", "doc_id")
 
 
 @CORE("s04_mixed_corpus", sql="SELECT part, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT 0 AS part, 'documents' AS source, text FROM documents UNION ALL SELECT 1, 'sections', text FROM sect_node UNION ALL SELECT 2, 'items', text FROM eval_item) WHERE length(trim(text, ' ')) > 0 GROUP BY ALL")
@@ -93,6 +97,27 @@ def s16(spark, d):
     return post(spark, d).filter("tf >= 2")
 
 
+_ENDS = "(SELECT build_id, a AS id FROM sect_entity_edge UNION ALL SELECT build_id, b FROM sect_entity_edge)"
+
+
+@CORE("s16_export_checks", sql=POST + f""", b AS (SELECT build_id, json_extract_string(params, '$.run_id') AS run_id FROM sect_build), ent AS (SELECT DISTINCT build_id, entity_id AS id FROM mentions JOIN b USING (run_id))
+SELECT 'contains' AS part, count(*) AS n FROM post WHERE tf >= 2 UNION ALL SELECT 'terms', count(DISTINCT term) FROM post WHERE tf >= 2 UNION ALL SELECT 'similar', count(*) FROM sect_entity_edge WHERE kind = 'co_mention' UNION ALL SELECT 'dangling_ends', count(*) FROM {_ENDS} x WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.build_id = x.build_id AND ent.id = x.id)
+UNION ALL SELECT 'ragged_vectors', count(*) FROM sect_embedding WHERE emb IS NOT NULL AND len(emb) <> 256""")
+def s16b(spark, d):
+    """Rows of each part of the export, ends of edges that no mention knows, and vectors of another length."""
+    p = post(spark, d).filter("tf >= 2")
+    e = table(spark, d, "sect_entity_edge")
+    b = table(spark, d, "sect_build").select("build_id", F.get_json_object("params", "$.run_id").alias("run_id"))
+    known = table(spark, d, "mentions").join(b, "run_id").select("build_id", F.col("entity_id").alias("id")).distinct()
+    ends = e.select("build_id", F.explode(F.array("a", "b")).alias("id")).join(known, ["build_id", "id"], "left_anti")
+    parts = {"contains": p, "terms": p.select("term").distinct(), "similar": e.filter("kind = 'co_mention'"), "dangling_ends": ends, "ragged_vectors": table(spark, d, "sect_embedding").filter("emb IS NOT NULL AND size(emb) <> 256")}
+    out = None
+    for name, df in parts.items():
+        n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @CORE("s18_mirror_counts", sql="WITH " + EDGES + " SELECT b.build_id, (SELECT count(*) FROM sect_node n WHERE n.build_id = b.build_id) AS vertices, (SELECT count(*) FROM e WHERE e.build_id = b.build_id) AS edges FROM sect_build b")
 def s18(spark, d):
     """Vertices and edges of each build, as a mirror is verified."""
@@ -101,12 +126,17 @@ def s18(spark, d):
     return table(spark, d, "sect_build").select("build_id").join(n, "build_id", "left").join(e, "build_id", "left").fillna(0)
 
 
-@CORE("i02_frozen_ingest", sql=POST + ", o AS (SELECT DISTINCT term FROM post JOIN sect_node USING (record_id) WHERE build_id = 1), c AS (SELECT record_id, count(*) AS terms, count(o.term) AS known FROM post JOIN sect_node USING (record_id) LEFT JOIN o USING (term) WHERE build_id <> 1 GROUP BY record_id) SELECT record_id, terms, known FROM c")
+@CORE("i02_frozen_ingest", sql=POST + ", f AS (SELECT record_id, term, tf FROM post JOIN sect_node USING (record_id) WHERE build_id = 1), fl AS (SELECT record_id, sum(tf) AS dl FROM f GROUP BY record_id), fn AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM fl), fd AS (SELECT term, count(*) AS df FROM f GROUP BY term), x AS (SELECT record_id, term, tf, dl.dl FROM post JOIN dl USING (record_id) JOIN sect_node USING (record_id) WHERE build_id <> 1) SELECT record_id, count(*) AS terms, count(df) AS known, round(coalesce(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 0), 4) AS mass FROM x LEFT JOIN fd USING (term), fn GROUP BY record_id")
 def i02(spark, d):
-    """Terms of later sections that the first build's vocabulary knows."""
-    p = post(spark, d).join(sections(spark, d).select("record_id", "build_id"), "record_id")
-    o = p.filter("build_id = 1").select("term").distinct().withColumn("k", F.lit(1))
-    return p.filter("build_id <> 1").join(o, "term", "left").groupBy("record_id").agg(F.count(F.lit(1)).alias("terms"), F.count("k").alias("known"))
+    """Later sections under the first build's frozen statistics: its document frequencies, number and mean length weigh their
+    terms, and a term it does not know weighs nothing."""
+    p = cut(post(spark, d).join(sections(spark, d).select("record_id", "build_id"), "record_id"), "post")
+    f = p.filter("build_id = 1").drop("build_id")
+    one = lexical.corpus_size(f, "record_id")
+    x = p.filter("build_id <> 1").drop("build_id")
+    j = x.join(lexical.doc_lengths(x, "record_id"), "record_id").join(lexical.doc_freq(f).select("term", "df"), "term", "left").crossJoin(F.broadcast(one))  # one row
+    w = stats.bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
+    return j.groupBy("record_id").agg(F.count(F.lit(1)).alias("terms"), F.count("df").alias("known"), F.round(F.coalesce(F.sum(w), F.lit(0.0)), 4).alias("mass"))
 
 
 @CORE("i03_version_upsert", sql=f"WITH {_NEW} SELECT record_id, version FROM v WHERE r = 1")
@@ -150,10 +180,13 @@ def _intervals(spark, d):
     return Y.intervals(table(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts")
 
 
-@CORE("i08_supersede", sql=f"WITH {_IV} SELECT event_type, count(*) AS n, count(valid_to) AS closed FROM iv GROUP BY event_type")
+@CORE("i08_supersede", sql="WITH " + EDGES + ", r AS (SELECT build_id, tag, created_at AS valid_from, lead(created_at) OVER (ORDER BY created_at, build_id) AS valid_to FROM sect_build), n AS (SELECT build_id, count(*) AS n FROM e GROUP BY build_id) SELECT r.build_id, valid_from, valid_to, valid_to IS NULL AS live, coalesce(n, 0) AS edges, CASE WHEN valid_to IS NULL THEN 0 ELSE coalesce(n, 0) END AS closed FROM r LEFT JOIN n USING (build_id)")
 def i08(spark, d):
-    """States of users closed by their next of the same kind."""
-    return _intervals(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("valid_to").alias("closed"))
+    """Builds as runs of one label: each is retired when the next is made, which closes its open edges; the last is live."""
+    r = table(spark, d, "sect_build").select("build_id", "created_at").withColumn("valid_to", F.lead("created_at").over(Window.orderBy("created_at", "build_id")))  # a row a build
+    n = edges(spark, d).groupBy("build_id").agg(F.count(F.lit(1)).alias("edges"))
+    j = r.join(n, "build_id", "left").fillna(0, ["edges"])
+    return j.select("build_id", F.col("created_at").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("live"), "edges", F.when(F.col("valid_to").isNull(), 0).otherwise(F.col("edges")).alias("closed"))
 
 
 @CORE("j12_as_of", sql=f"WITH {_IV} SELECT user_id, event_type, event_id FROM iv WHERE valid_from <= TIMESTAMP '2024-01-15 00:00:00' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15 00:00:00')")
@@ -190,9 +223,57 @@ def j04(spark, d):
 
 @CORE("j05_theta_pairs", sql=MENTIONS + "SELECT x.build_id, x.ord, count(*) AS pairs FROM m x JOIN m z ON z.build_id = x.build_id AND z.ord = x.ord AND z.entity_id > x.entity_id GROUP BY ALL")
 def j05(spark, d):
-    """Entity pairs of each section, from its number of entities."""
-    n = mentions(spark, d).groupBy("build_id", "ord").agg(F.count(F.lit(1)).alias("n"))
-    return n.filter("n > 1").select("build_id", "ord", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    """Pairs of entities of each section, the lesser first: a join by inequality within a section, which names few."""
+    m = mentions(spark, d).select("build_id", "ord", "entity_id")
+    y = m.withColumnRenamed("entity_id", "e2")
+    return m.join(y, (m.build_id == y.build_id) & (m.ord == y.ord) & (y.e2 > m.entity_id)).groupBy(m.build_id, m.ord).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@CORE("j06_array_containment", sql=MENTIONS + ", c AS (SELECT build_id, community AS cid, list(ord) AS members FROM sect_node WHERE community >= 0 GROUP BY ALL) SELECT m.build_id, cid, count(*) AS mentions FROM m JOIN c ON c.build_id = m.build_id AND list_contains(members, m.ord) GROUP BY ALL")
+def j06(spark, d):
+    """Mentions of each community's member list: lists are opened to memberships once, and joined on equality."""
+    c = sections(spark, d).filter("community >= 0").groupBy("build_id", F.col("community").alias("cid"), F.pmod("ord", F.lit(64))).agg(F.collect_list("ord").alias("members"))
+    m = c.select("build_id", "cid", F.explode("members").alias("ord"))
+    return mentions(spark, d).join(m, ["build_id", "ord"]).groupBy("build_id", "cid").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@CORE("j07_inline_table", sql="SELECT name, count(*) AS n FROM events JOIN (VALUES (1, 'one'), (2, 'two'), (3, 'three')) AS v(user_id, name) USING (user_id) GROUP BY name")
+def j07(spark, d):
+    """Events of users named in an inline table."""
+    v = spark.sql("SELECT * FROM VALUES (1L, 'one'), (2L, 'two'), (3L, 'three') AS v(user_id, name)")
+    return table(spark, d, "events").join(F.broadcast(v), "user_id").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@CORE("j10_natural_key", sql="SELECT build_id, count(*) AS n, count(DISTINCT section_idx) AS places FROM sect_node JOIN (SELECT DISTINCT build_id, doc_id, section_idx FROM lex_chunk_meta) USING (build_id, doc_id, section_idx) GROUP BY build_id")
+def j10(spark, d):
+    """Sections and chunks joined on the columns they share by name."""
+    k = _chunks(spark, d).select("build_id", "doc_id", "section_idx").distinct()
+    return sections(spark, d).join(k, ["build_id", "doc_id", "section_idx"]).groupBy("build_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("section_idx").alias("places"))
+
+
+@CORE("j11_recursive_reach", sql="WITH RECURSIVE " + SYM + ", w AS (SELECT build_id, min(a) AS node, 0 AS hop FROM y GROUP BY build_id UNION SELECT y.build_id, y.b, hop + 1 FROM w JOIN y ON y.build_id = w.build_id AND y.a = w.node WHERE hop < 3) SELECT build_id, node, min(hop) AS hop FROM w GROUP BY ALL")
+def j11(spark, d):
+    """Nodes within three hops of each build's first node, by a recursive join that never returns to one it has met."""
+    y = cut(symmetric(edges(spark, d)).select("build_id", "a", "b"), "sym")
+    front = y.groupBy("build_id").agg(F.min("a").alias("node"))
+    seen = front.withColumn("hop", F.lit(0))
+    for hop in (1, 2, 3):
+        nxt = front.withColumnRenamed("node", "a").join(y, ["build_id", "a"]).select("build_id", F.col("b").alias("node")).distinct()
+        front = cut(nxt.join(seen, ["build_id", "node"], "left_anti"), "front")
+        seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
+    return seen
+
+
+@CORE("j13_scalar_subquery", sql="SELECT event_type, count(*) AS n FROM events WHERE value > (SELECT avg(value) FROM events) GROUP BY event_type")
+def j13(spark, d):
+    """Events above the mean value of all."""
+    return spark.sql("SELECT event_type, count(*) AS n FROM {e} WHERE value > (SELECT avg(value) FROM {e}) GROUP BY event_type", e=table(spark, d, "events"))
+
+
+@CORE("w03_top_k", sql="SELECT event_id, user_id, value FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 50")
+def w03(spark, d):
+    """The fifty largest events in a total order (a top-k report)."""
+    return table(spark, d, "events").select("event_id", "user_id", "value").orderBy(F.col("value").desc_nulls_last(), "event_id").limit(50)
 
 
 @CORE("j08_map_unnest", sql="SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY k")
@@ -270,19 +351,26 @@ def x10(spark, d):
     return v.groupBy("build_id", "doc_id").agg(F.sha2(F.array_join(t, "\n"), 256).alias("print"))
 
 
-@CORE("x15_unit_vectors", sql="SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS n FROM embeddings")
+@CORE("x15_unit_vectors", sql="WITH v AS (SELECT record_id, min(list_transform(emb, lambda x: CAST(x AS DOUBLE))) AS v FROM sect_embedding JOIN sect_node USING (record_id) WHERE community = 0 AND len(emb) = 256 AND len(list_filter(emb, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0 GROUP BY record_id) SELECT record_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(v[256] / sqrt(list_inner_product(v, v)), 6) AS last FROM v")
 def x15(spark, d):
-    """Length of every stored vector."""
-    return table(spark, d, "embeddings").select("vec_id", F.round(norm("embedding"), 5).alias("n"))
+    """Vectors of a set of nodes (the sections of community 0) at unit length: their first and last number."""
+    from sectloom.plans.q_search import _unit_vectors
+
+    v = _unit_vectors(spark, d).join(sections(spark, d).filter("community = 0").select("record_id"), "record_id", "left_semi")
+    return v.select("record_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[255], 6).alias("last"))
 
 
-@CORE("x22_paper_texts", sql=f"WITH {_NEW}, t AS (SELECT build_id, doc_id, string_agg(text, chr(10) || chr(10) ORDER BY section_idx, chunk_idx) AS t FROM v WHERE r = 1 GROUP BY ALL) SELECT build_id, doc_id, length(t) AS chars, length(t) > 20000 AS over FROM t")
+@CORE("x22_paper_texts", sql=f"WITH {_NEW}, t AS (SELECT build_id, doc_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY section_idx, chunk_idx), 1, 20000) AS t, sum(length(text)) + 2 * (count(*) - 1) AS chars FROM v WHERE r = 1 AND text IS NOT NULL GROUP BY ALL) SELECT build_id, doc_id, CAST(chars AS BIGINT) AS chars, chars > 20000 AS truncated, md5(t) AS digest FROM t")
 def x22(spark, d):
-    """Length of every paper's whole text, and whether it exceeds the reading budget."""
-    v = Y.newest(_chunks(spark, d), _KEYS, "version", "record_id")
-    t = F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "chunk_idx", "text"))), lambda s: s["text"])
-    x = v.groupBy("build_id", "doc_id").agg(F.array_join(t, "\n\n").alias("t"))
-    return x.select("build_id", "doc_id", F.length("t").cast("long").alias("chars"), (F.length("t") > 20000).alias("over"))
+    """The first 20,000 characters of every paper's newest chunks in order (the reading budget), its whole length, and whether it
+    was cut. Only chunks that begin within the budget are gathered."""
+    v = Y.newest(_chunks(spark, d), _KEYS, "version", "record_id").filter("text IS NOT NULL")
+    w = Window.partitionBy("build_id", "doc_id").orderBy("section_idx", "chunk_idx")
+    x = v.select("build_id", "doc_id", "section_idx", "chunk_idx", "text", (F.sum(F.length("text") + 2).over(w) - F.length("text") - 2).alias("at"))
+    size = x.groupBy("build_id", "doc_id").agg(F.max(F.col("at") + F.length("text")).alias("chars"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "chunk_idx", "text"))), lambda s: s["text"])
+    t = x.filter("at < 20000").groupBy("build_id", "doc_id").agg(F.substring(F.array_join(parts, "\n\n"), 1, 20000).alias("t"))
+    return size.join(t, ["build_id", "doc_id"]).select("build_id", "doc_id", "chars", (F.col("chars") > 20000).alias("truncated"), F.md5("t").alias("digest"))
 
 
 @CORE("x25_gold_sentences")

@@ -175,7 +175,7 @@ def t23(spark, d):
     return sections(spark, d).filter("text IS NOT NULL").select("record_id", X.is_junk(F.col("text")).alias("is_junk"))
 
 
-_USABLE = r"""WITH x AS (SELECT record_id, text, length(text) AS n, section_title, regexp_matches(trim(coalesce(section_title, ''), ' '), '(?i)^\W*(?:[0-9ivx]+[.):]?\s+)?(?:references?|bibliography)\W*$') AS ref,
+_USABLE = r"""WITH x AS (SELECT record_id, text, length(text) AS n, section_title, regexp_matches(trim(regexp_replace(coalesce(section_title, ''), '^\s*#{1,6}\s+', ''), ' '), '(?i)^\W*(?:[0-9ivx]+[.):]?\s+|appendix\s+\w+[.:]?\s+)?(?:selected\s+|cited\s+)?(?:references?(?:\s+(?:list|cited|and\s+notes))?|bibliography|works\s+cited|literature\s+cited|citations?|notes\s+and\s+references)\W*$') AS ref,
   list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: length(regexp_replace(l, '[^A-Za-z0-9_]', '', 'g'))), lambda k: k > 0) AS k FROM sect_node),
 b AS (SELECT ln(n) AS x FROM x WHERE n > 0 AND NOT ref), m AS (SELECT median(x) AS m FROM b), f AS (SELECT exp(any_value(m) - 2 * 1.4826 * median(abs(x - m))) AS floor FROM b, m),
 c AS (SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN ref THEN 'reference' WHEN n < floor THEN 'short' WHEN contains(text, 'latexi') OR len(k) = 0 OR (len(k) >= 8 AND len(list_filter(k, lambda j: j <= 2)) >= 0.9 * len(k)) THEN 'junk' ELSE 'kept' END AS reason FROM x, f)
