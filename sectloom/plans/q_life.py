@@ -226,7 +226,8 @@ def j05(spark, d):
     """Pairs of entities of each section, the lesser first: a join by inequality within a section, which names few."""
     m = mentions(spark, d).select("build_id", "ord", "entity_id")
     y = m.withColumnRenamed("entity_id", "e2")
-    return m.join(y, (m.build_id == y.build_id) & (m.ord == y.ord) & (y.e2 > m.entity_id)).groupBy(m.build_id, m.ord).agg(F.count(F.lit(1)).alias("pairs"))
+    on = "x.build_id = y.build_id AND x.ord = y.ord AND y.e2 > x.entity_id"
+    return m.alias("x").join(y.alias("y"), F.expr(on)).groupBy("x.build_id", "x.ord").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @CORE("j06_array_containment", sql=MENTIONS + ", c AS (SELECT build_id, community AS cid, list(ord) AS members FROM sect_node WHERE community >= 0 GROUP BY ALL) SELECT m.build_id, cid, count(*) AS mentions FROM m JOIN c ON c.build_id = m.build_id AND list_contains(members, m.ord) GROUP BY ALL")
