@@ -287,6 +287,7 @@ def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP) -> DataFrame:
     """(a, b, s): the neighbour graph of the routed vectors, improved by rounds of neighbours of neighbours
     until a round changes at most SETTLED of all entries. Lists only improve, so the rounds end."""
     graph = cut(best_lists(leaf_graph(codes, dim, keep), keep), "graph")
+    forget(codes)  # the leaves' vectors need not stay on disk
     rows = codes.count()
     before = None
     while True:
@@ -294,10 +295,17 @@ def nn_descent(codes: DataFrame, dim: int, *, keep: int = KEEP) -> DataFrame:
         pairs = cut(round_pairs(links, before, codes), "pairs")
         worst = graph.groupBy("a").agg(F.min("s").alias("_w"), F.count(F.lit(1)).alias("_n"))
         new = compare(pairs, codes, dim).join(worst, "a", "left").filter(F.col("_w").isNull() | (F.col("_n") < keep) | (F.col("s") > F.col("_w"))).select("a", "b", "s")
-        new = cut(new.join(graph.select("a", "b"), ["a", "b"], "left_anti"), "new")
+        better = cut(new, "better")
+        forget(codes)
+        # what is listed already is looked up from the pairs' side, as they are few; only lists that get a row are made anew
+        there = graph.join(better.select("a", "b"), ["a", "b"], "left_semi").select("a", "b")
+        new = cut(better.join(there, ["a", "b"], "left_anti"), "new")
+        release(better)
         changed = new.count()
         if changed:
-            merged = cut(best_lists(graph.unionByName(new), keep), "graph")
+            rows_of = new.select("a").distinct()
+            merged = best_lists(graph.join(rows_of, "a", "left_semi").unionByName(new), keep).unionByName(graph.join(rows_of, "a", "left_anti"))
+            merged = cut(merged, "graph")
             release(graph)
             graph = merged
         release(pairs)
