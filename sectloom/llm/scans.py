@@ -17,8 +17,8 @@ SIGNS = [("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("@", "a"), ("|", "l"),
 #: Misreadings of one kind in a word that a hash difference is made for.
 TIMES = 4
 #: A misread word of letters is at most this share of its right form, and the form at least this frequent; for signs in a word any form that occurs twice will do.
-RARE_SHARE, FREQUENT, MIN_LETTERS = 0.05, 15, 4
-#: Corrections are broadcast up to this number of rows; beyond it words are joined to them.
+RARE_SHARE, FREQUENT, MIN_LETTERS = 0.05, 15, 3
+#: Corrections are broadcast up to this number of rows; with more the operator stops with an error.
 MAX_BROADCAST = 3_000_000
 
 WORD = re.compile(r"[@|!$€]?[^\W_]+(?:[@|!$€]+[^\W_]+)*[@|]?")

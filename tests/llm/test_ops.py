@@ -385,3 +385,10 @@ def test_more_clusters_than_a_hundred(spark):
     m = gridclust.grid_clusters(df, "id", "emb", 160).toPandas()
     assert m.cluster.notna().all() and m.cluster.nunique() == 110
     assert (m.groupby(m.id // 40).cluster.nunique() == 1).all()
+
+
+def test_short_words_are_corrected_too(spark):
+    """Three letters are enough where the right form is far more frequent."""
+    words = [("see", 4000), ("sec", 60), ("cat", 50), ("eat", 40), ("on", 9000), ("ori", 1)]
+    got = {r.word: r.right for r in scans.corrections(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert got == {"sec": "see"}
