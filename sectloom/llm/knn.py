@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectloom.llm.vectors import matrix, usable
-from sectloom.plans.runtime import cut, forget, release
+from sectloom.plans.runtime import cut, forget, release, size_bound
 
 #: Neighbours kept while the graph is built, trees it begins from, and rows of one leaf.
 KEEP, TREES, LEAF = 12, 5, 2048
@@ -23,6 +23,8 @@ ROUTED, PARTS = 20_000, 4096
 SETTLED = 0.002
 #: Neighbours of each direction whose pairs a round compares.
 JOIN = 8
+#: Pairs of a round whose rows are looked up by broadcasting their ids (twice as many at most); more are joined.
+FEW = 500_000
 #: Neighbouring leaves of the first tree whose rows' pairs are compared in one task.
 NEAR = 8
 #: Copies of one vector that stand for all of them in a list; must exceed the k asked for.
@@ -268,7 +270,9 @@ def compare(pairs: DataFrame, codes: DataFrame, dim: int) -> DataFrame:
     home = codes.select("id", F.floor(F.element_at("leaves", 1) / NEAR).alias("block"))
     p = pairs.join(home.select(F.col("id").alias("a"), "block"), "a")
     need = p.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
-    sent = need.join(codes.select("id", "code", "scale"), "id").select(F.col("block").alias("to"), "id", "code", "scale")
+    if size_bound(pairs, FEW):
+        need = F.broadcast(need)
+    sent = codes.select("id", "code", "scale").join(need, "id").select(F.col("block").alias("to"), "id", "code", "scale")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Repeated keys up to this number are broadcast.
+REPEATS = 1_000_000
 #: Partial sums that are added up together.
 FAN = 512
 
@@ -18,11 +20,13 @@ def usable(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     """(key, vec) of rows whose vector has ``dim`` finite numbers, not all zero; keys delivered more than
     once count once (the least of their vectors). Null keys and null vectors are left out.
 
-    Only rows of repeated keys are grouped; the others are not shuffled unless repeats are many.
+    Only rows of repeated keys are grouped; the others are not shuffled unless there are more than REPEATS such keys.
     """
     ok = F.col(key).isNotNull() & (F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
     u = df.select(key, vec).filter(ok)
-    more = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    more = cut(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key), "repeated")
+    if size_bound(more, REPEATS):
+        more = F.broadcast(more)
     once = u.join(more, key, "left_anti")
     again = u.join(more, key, "left_semi").groupBy(key).agg(F.min(vec).alias(vec))
     return once.unionByName(again)
