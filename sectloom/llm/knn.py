@@ -13,7 +13,7 @@ from sectloom.llm.vectors import matrix, usable
 from sectloom.plans.runtime import cut, forget, release, size_bound
 
 #: Neighbours kept while the graph is built, trees it begins from, and rows of one leaf.
-KEEP, TREES, LEAF = 12, 5, 2048
+KEEP, TREES, LEAF = 12, 3, 4096
 #: Rows the trees' split directions are fitted on, and rows a leaf that came out larger than twice LEAF is split
 #: further on; every row is then routed and searched.
 SAMPLE, AGAIN = 20_000, 2048
@@ -26,7 +26,7 @@ JOIN = 8
 #: Pairs of a round whose rows are looked up by broadcasting their ids (twice as many at most); more are joined.
 FEW = 500_000
 #: Neighbouring leaves of the first tree whose rows' pairs are compared in one task.
-NEAR = 8
+NEAR = 4
 #: Copies of one vector that stand for all of them in a list; must exceed the k asked for.
 COPIES = 16
 
