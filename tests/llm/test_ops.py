@@ -88,11 +88,12 @@ def _text(rnd):
 def test_boundaries_and_pieces(spark, size):
     rnd = random.Random(size)
     texts = {i: _text(rnd) for i in range(60)} | {100: None, 101: "", 102: " " * 500, 103: "x" * 700}
+    texts[104] = "ab " * 40 + " " * 900 + "cd " * 60 + "\n\n" * 300 + "end"
     df = spark.createDataFrame([(k, v, "c") for k, v in texts.items()], "id long, text string, r string")
     want = {k: _boundary(t.strip(), 100) for k, t in texts.items() if t and len(t.strip()) > 100}
     got = {r.id: r.boundary for r in splitting.oversized_boundaries(df, "id", "text", limit=100, range_chars=size).collect()}
     assert got == want
-    p = splitting.split_oversized(df.withColumnRenamed("r", "tag"), "id", "text", ["tag"], limit=100, overlap=10, range_chars=max(size, 200), halo=400).collect()
+    p = splitting.split_oversized(df, "id", "text", ["r"], limit=100, overlap=10, range_chars=max(size, 200), halo=400).collect()
     by = {}
     for r in p:
         by.setdefault(r.id, []).append(r)
@@ -100,6 +101,7 @@ def test_boundaries_and_pieces(spark, size):
     for k, ps in by.items():
         t, end = texts[k], 0
         ps.sort(key=lambda r: r.piece_no)
+        assert [(r.start + r.n_repeated, r.start, r.end) for r in ps] == splitting.cut_whole(t, 100, 10)  # at any range size
         assert [r.piece_no for r in ps] == list(range(len(ps)))
         for r in ps:
             assert t[r.start : r.end] == r.piece and 0 < len(r.piece) <= 100 and 0 <= r.n_repeated <= 10
@@ -122,6 +124,10 @@ def test_giant_file(spark, tmp_path):
         assert raw[end:fresh].decode().strip() == ""
         end = r.end_byte
     assert raw[end:].decode().strip() == ""
+    whole = splitting.cut_whole(t, 200, 20)
+    assert [r.piece for r in ps] == [t[a:b] for _, a, b in whole]
+    with pytest.raises(FileNotFoundError):
+        splitting.file_pieces(spark, [str(tmp_path / "none.txt")])
 
 
 # p8 -------------------------------------------------------------------------
