@@ -38,7 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a local folder is made and set.
+    Only where that is unset and the session runs in one process (tests) a local folder is made and set; on a cluster
+    an unset folder is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
         made = sc._jsc.sc().getCheckpointDir()
         found = made.get() if made.isDefined() else None
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="sectloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -70,7 +73,7 @@ def release(df: DataFrame) -> None:
         return
     spark = df.sparkSession
     u = urlparse(path)
-    if u.scheme in ("", "file"):
+    if u.scheme == "file" or (not u.scheme and spark.sparkContext.master.startswith("local")):
         shutil.rmtree(u.path, ignore_errors=True)
         return
     jvm = spark.sparkContext._jvm
