@@ -22,8 +22,8 @@ def _tokens(spark, d):
 
 @CORE("e01_ngrams")
 def e01(spark, d):
-    """Grams of up to three tokens that occur at least five times."""
-    return E.ngrams(_tokens(spark, d), "record_id", 3, 5)
+    """Grams of up to four tokens that occur at least five times."""
+    return E.ngrams(_tokens(spark, d), "record_id", 4, 5)
 
 
 @CORE("e02_gram_features")
@@ -140,21 +140,21 @@ def e14(spark, d):
 
 @CORE("e15_scored_relations")
 def e15(spark, d):
-    """Anchored pairs in at least two sentences by log-likelihood, with their most usual template."""
+    """Anchored pairs in at least three sentences and with a log-likelihood of at least 10.83, with their most usual template."""
     r = cut(E.relation_candidates(_sentences(spark, d), "record_id"), "relations")
     p = r.groupBy("a", "b").agg(F.sum("n").cast("double").alias("ab"), F.max_by("template", F.struct("n", "template")).alias("template"))
     ra, rb = r.groupBy("a").agg(F.sum("n").cast("double").alias("na")), r.groupBy("b").agg(F.sum("n").cast("double").alias("nb"))
     one = r.agg(F.sum("n").cast("double").alias("n"))
-    j = p.filter("ab >= 2").join(ra, "a").join(rb, "b").crossJoin(F.broadcast(one))  # one row
-    return j.select("a", "b", "template", F.col("ab").cast("long").alias("n"), F.round(stats.g2(F.col("ab"), F.col("na"), F.col("nb"), F.col("n")), 4).alias("g2"))
+    j = p.filter("ab >= 3").join(ra, "a").join(rb, "b").crossJoin(F.broadcast(one))  # one row
+    return j.select("a", "b", "template", F.col("ab").cast("long").alias("n"), F.round(stats.g2(F.col("ab"), F.col("na"), F.col("nb"), F.col("n")), 4).alias("g2")).filter("g2 >= 10.83")
 
 
 @CORE("e16_template_classes")
 def e16(spark, d):
-    """Templates that join the same pairs: set cosine of at least 0.1 over at least two common pairs, in components."""
+    """Templates that join the same pairs: set cosine of at least 0.1 over at least three common pairs, in components."""
     r = cut(E.relation_candidates(_sentences(spark, d), "record_id").withColumn("pair", F.concat_ws("|", "a", "b")).select("template", "pair").distinct(), "pairs")
     size = r.groupBy("template").agg(F.count(F.lit(1)).alias("c"))
-    x = r.select("pair", F.col("template").alias("x")).join(r.select("pair", F.col("template").alias("y")), "pair").filter("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    x = r.select("pair", F.col("template").alias("x")).join(r.select("pair", F.col("template").alias("y")), "pair").filter("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
     x = x.join(size.select(F.col("template").alias("x"), F.col("c").alias("cx")), "x").join(size.select(F.col("template").alias("y"), F.col("c").alias("cy")), "y").filter("n / sqrt(cx * cy) >= 0.1")
     return G.components(cut(x.select(F.col("x").alias("a"), F.col("y").alias("b")), "edges"), size.select(F.col("template").alias("id"))).select(F.col("id").alias("template"), F.col("component").alias("class"))
 

@@ -224,12 +224,13 @@ def _shared(spark, d):
     return x.withColumnRenamed("ord", "a").join(x.select("build_id", "entity_id", F.col("ord").alias("b")), ["build_id", "entity_id"]).filter("a <> b").groupBy("build_id", "a", "b").agg(F.round(F.sum("w"), 6).alias("s"))
 
 
-@CORE("n25_rank_fusion", sql=MENTIONS + ", l1 AS (SELECT build_id, ord, row_number() OVER (PARTITION BY build_id ORDER BY sum(cnt) DESC, ord) AS r FROM m GROUP BY build_id, ord), l2 AS (SELECT build_id, ord, row_number() OVER (PARTITION BY build_id ORDER BY count(*) DESC, ord) AS r FROM m GROUP BY build_id, ord) SELECT build_id, ord, round(sum(1.0 / (60 + r)), 8) AS rrf FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY ALL")
+@CORE("n25_rank_fusion", sql=MENTIONS + ", l1 AS (SELECT build_id, ord, row_number() OVER (PARTITION BY build_id ORDER BY sum(cnt) DESC, ord) AS r FROM m GROUP BY build_id, ord), l2 AS (SELECT build_id, ord, row_number() OVER (PARTITION BY build_id ORDER BY count(*) DESC, ord) AS r FROM m GROUP BY build_id, ord) SELECT build_id, ord, round(sum(1.0 / (60 + r)), 8) AS rrf FROM (SELECT * FROM l1 WHERE r <= 144 UNION ALL SELECT * FROM l2 WHERE r <= 144) GROUP BY ALL")
 def n25(spark, d):
-    """Reciprocal rank fusion of sections by mentions and by distinct entities."""
-    m = mentions(spark, d).groupBy("build_id", "ord").agg(F.sum("cnt").alias("c"), F.count(F.lit(1)).alias("k"))
-    w = lambda c: Window.partitionBy("build_id").orderBy(F.col(c).desc(), "ord")
-    return m.select("build_id", "ord", F.row_number().over(w("c")).alias("r1"), F.row_number().over(w("k")).alias("r2")).select("build_id", "ord", F.round(1.0 / (60 + F.col("r1")) + 1.0 / (60 + F.col("r2")), 8).alias("rrf"))
+    """Reciprocal rank fusion of two lists of 144 sections of each build: by mentions, and by distinct entities."""
+    from sectloom.operators.search import rank_fusion
+
+    m = cut(mentions(spark, d).groupBy("build_id", "ord").agg(F.sum("cnt").alias("c"), F.count(F.lit(1)).alias("k")), "counts")
+    return rank_fusion([top(m, ["build_id"], [F.col(c).desc(), F.col("ord")], 144) for c in ("c", "k")], "build_id", "ord")
 
 
 _BRIDGES = MENTIONS + ", p AS (SELECT x.build_id, x.ord AS a, z.ord AS b, round(sum(ln(n.n / f.df)), 6) AS s FROM m x JOIN m z ON z.build_id = x.build_id AND z.entity_id = x.entity_id AND z.ord <> x.ord JOIN f ON f.build_id = x.build_id AND f.entity_id = x.entity_id JOIN n ON n.build_id = x.build_id WHERE f.df BETWEEN 2 AND 100 GROUP BY ALL), nb AS (SELECT build_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY build_id, a ORDER BY s DESC, b) AS r FROM p) WHERE r <= 5)"

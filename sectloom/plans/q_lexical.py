@@ -150,17 +150,17 @@ def l12(spark, d):
     return j.select("item_id", "term", F.round(stats.bm25(F.col("tf"), F.col("df"), F.col("ql"), F.col("n"), F.col("avgdl")), 6).alias("w"))
 
 
-@CORE("l13_sampled_df", sql=POST + """, s AS (SELECT record_id, row_number() OVER (ORDER BY md5(CAST(record_id AS VARCHAR) || 's7'), record_id) AS r FROM dl), k AS (SELECT count(*) AS total, CAST(floor(count(*) / 2) AS BIGINT) AS n FROM s),
-d AS (SELECT term, count(*) AS c FROM post JOIN s USING (record_id), k WHERE r <= n GROUP BY term) SELECT term, CAST(greatest(1, least(total, round_even(c * total / n, 0))) AS BIGINT) AS df FROM d, k""")
+@CORE("l13_sampled_df", sql=POST + """, s AS (SELECT record_id FROM dl WHERE CAST(('0x' || md5('s7:' || record_id)[1:12]) AS BIGINT) < 140737488355328), k AS (SELECT (SELECT count(*) FROM dl) AS total, (SELECT count(*) FROM s) AS n),
+d AS (SELECT term, count(*) AS c FROM post JOIN s USING (record_id) GROUP BY term) SELECT term, CAST(greatest(1, least(total, round_even(c * total / n, 0))) AS BIGINT) AS df FROM d, k""")
 def l13(spark, d):
-    """Document frequencies estimated from a hashed half of the sections (a sampling operator)."""
+    """Document frequencies estimated from the half of the sections whose hash is in the lower half (a sampling operator)."""
     p = post(spark, d)
-    ids = L.doc_lengths(p, "record_id").select("record_id")
-    total = ids.count()
-    picked = ids.orderBy(F.md5(F.concat(F.col("record_id").cast("string"), F.lit("s7"))), "record_id").limit(total // 2)
-    c = p.join(picked, "record_id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    est = F.bround(F.col("c") * F.lit(float(total)) / F.lit(max(1, total // 2)), 0)
-    return c.select("term", F.greatest(F.lit(1.0), F.least(F.lit(float(total)), est)).cast("long").alias("df"))
+    low = F.conv(F.substring(F.md5(F.concat(F.lit("s7:"), F.col("record_id").cast("string"))), 1, 12), 16, 10).cast("long") < 1 << 47
+    ids = L.doc_lengths(p, "record_id").select("record_id", low.alias("low"))
+    one = ids.agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("low").cast("long")).alias("n"))
+    c = p.filter(low).groupBy("term").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(one))  # one row
+    est = F.bround(F.col("c") * F.col("total") / F.col("n"), 0)
+    return c.select("term", F.greatest(F.lit(1.0), F.least(F.col("total").cast("double"), est)).cast("long").alias("df"))
 
 
 @CORE("l14_hashed_sample", sql="SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY md5(CAST(record_id AS VARCHAR) || 'sample'), record_id) AS r FROM sect_node) WHERE r <= 100")

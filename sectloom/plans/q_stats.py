@@ -123,12 +123,16 @@ def a10(spark, d):
     return j.groupBy("doc_id").agg(F.round(-F.sum(F.col("tf") / F.col("l") * F.log2((F.col("cf") - F.col("tf") + 1) / (F.col("t") - F.col("l") + F.col("v")))), 6).alias("bits"))
 
 
-@CORE("a11_term_bands", sql=POST + ", s AS (SELECT term, any_value(df) AS df, round(log2(max(w) * sqrt(any_value(df))), 6) AS score FROM wt GROUP BY term), b AS (SELECT *, ntile(8) OVER (ORDER BY df, term) AS band FROM s) SELECT CAST(band AS INT) AS band, count(*) AS n, min(df) AS lo, max(df) AS hi, round(avg(score) + stddev_samp(score), 4) AS bound FROM b GROUP BY band")
+@CORE("a11_term_bands", sql=POST + ", s AS (SELECT term, any_value(df) AS df, round(log2(max(w) * sqrt(any_value(df))), 6) AS score FROM wt GROUP BY term), h AS (SELECT df, count(*) AS k FROM s GROUP BY df), c AS (SELECT df, CAST(least(8, floor(8 * (sum(k) OVER (ORDER BY df) - k) / sum(k) OVER ()) + 1) AS INT) AS band FROM h) SELECT band, count(*) AS n, min(df) AS lo, max(df) AS hi, round(avg(score) + stddev_samp(score), 4) AS bound FROM s JOIN c USING (df) GROUP BY band")
 def a11(spark, d):
-    """Terms in eight equal bands of document frequency, with the score bound of each."""
+    """Terms in up to eight bands of document frequency, about equal in number, with the score bound of each. Terms of one frequency
+    stay together (bands that it fills are merged), so bands follow from the counts of each frequency alone."""
     s = lexical.weights(post(spark, d), "record_id").groupBy("term").agg(F.first("df").alias("df"), F.max("w").alias("m")).withColumn("score", F.round(F.log2(F.col("m") * F.sqrt("df")), 6))
-    b = s.withColumn("band", F.ntile(8).over(Window.orderBy("df", "term")))
-    return b.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("df").alias("lo"), F.max("df").alias("hi"), F.round(F.avg("score") + F.stddev_samp("score"), 4).alias("bound"))
+    s = cut(s, "scores")
+    h = s.groupBy("df").agg(F.count(F.lit(1)).alias("k"))  # a row a frequency
+    below = F.sum("k").over(Window.orderBy("df")) - F.col("k")
+    c = h.select("df", F.least(F.lit(8), F.floor(8 * below / F.sum("k").over(Window.partitionBy())) + 1).cast("int").alias("band"))
+    return s.join(F.broadcast(c), "df").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("df").alias("lo"), F.max("df").alias("hi"), F.round(F.avg("score") + F.stddev_samp("score"), 4).alias("bound"))
 
 
 @CORE("a12_select_vocabulary")
