@@ -10,7 +10,7 @@ from sectloom.functions.text import tokenize
 from sectloom.operators import lexical as L
 from sectloom.plans.base import mentions, post, sections
 from sectloom.plans.registry import CORE
-from sectloom.plans.runtime import cut, table
+from sectloom.plans.runtime import cut, forget, table
 from sectloom.plans.sqlparts import MENTIONS, POST, QUERY, tokens
 
 K = 10
@@ -300,10 +300,10 @@ h AS (SELECT gold, record_id, round(sum(w), 6) AS score FROM q JOIN wt USING (te
 
 def _title_ranks(spark, d):
     g = sections(spark, d).filter("length(section_title) > 20").groupBy("section_title").agg(F.min("record_id").alias("gold"), F.count(F.lit(1)).alias("c")).filter("c = 1")
-    q = g.select("gold", F.explode(F.array_distinct(tokenize(F.col("section_title")))).alias("term"))
-    h = cut(q.join(_w(spark, d).select("record_id", "term", "w"), "term").groupBy("gold", "record_id").agg(F.round(F.sum("w"), 6).alias("score")), "hits")
-    t = h.groupBy("gold").agg(F.max(F.when(F.col("record_id") == F.col("gold"), F.col("score"))).alias("truth"))
-    return h.join(t, "gold").groupBy("gold").agg(F.first("truth").alias("truth"), F.sum(F.when(F.col("score") > F.col("truth"), 1).otherwise(0)).cast("long").alias("better"))
+    q = g.select("gold", F.explode(tokenize(F.col("section_title"))).alias("term"))
+    rows = cut(L.document_tokens(sections(spark, d), "record_id", "text"), "tokens")
+    forget(rows)
+    return L.truth_ranks(rows, "record_id", q, "gold")
 
 
 @CORE("l25_rank_of_truth", sql=_TITLE + "SELECT gold, better FROM k WHERE truth IS NOT NULL")

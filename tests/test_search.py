@@ -165,3 +165,40 @@ def test_queries_without_sql_run(spark, name):
     from sectloom.plans.catalog import CORE
 
     assert CORE.queries[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_truth_ranks_equal_brute_force_and_write_no_hits(spark, tmp_path, monkeypatch):
+    from sectloom.plans import q_lexical
+
+    rnd = random.Random(5)
+    names = [f"name{i}" for i in range(60)]
+    text = [" ".join(["shared"] * rnd.randrange(1, 4) + [names[i]] * (i % 3) + rnd.choices(names, k=4)) for i in range(60)]
+    text[7] = "nothing here"
+    spark.createDataFrame([(i, f"Shared heading words {names[i]}", text[i]) for i in range(60)], "record_id long, section_title string, text string").write.parquet(f"{tmp_path}/sect_node.parquet")
+    written, cut = [], q_lexical.cut
+    for module in (q_lexical, lexical):
+        monkeypatch.setattr(module, "cut", lambda df, label="cut": (out := cut(df, label), written.append(out.count()))[0])
+    got = {r.gold: r.better for r in q_lexical.l25(spark, str(tmp_path)).collect()}
+    docs = [t.split() for t in text]
+    avg = sum(map(len, docs)) / 60
+
+    def score(q, t):
+        s = 0.0
+        for w in {"shared", "heading", "words", q} & set(t):
+            df, tf = sum(w in d for d in docs), t.count(w)
+            s += math.log(1 + (60 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg))
+        return round(s, 6)
+
+    s = [[score(q, d) for d in docs] for q in names]
+    assert got == {i: sum(x > s[i][i] for x in s[i]) for i in range(60) if i != 7}
+    assert max(written) < 300  # 59 x 60 hits
+    rows = lexical.document_tokens(spark.read.parquet(f"{tmp_path}/sect_node.parquet"), "record_id", "text")
+    q = spark.createDataFrame([(i, w) for i in range(60) for w in ("shared", "heading", "words", names[i])], "gold long, term string")
+    assert {r.gold: r.better for r in lexical.truth_ranks(rows, "record_id", q, "gold", 7, 9).filter("truth IS NOT NULL").collect()} == got
+
+
+def test_bootstrap_without_titles(spark, tmp_path):
+    from sectloom.plans import q_lexical
+
+    spark.createDataFrame([(1, "short", "some text"), (2, None, None)], "record_id long, section_title string, text string").write.parquet(f"{tmp_path}/sect_node.parquet")
+    assert q_lexical.a18b(spark, str(tmp_path)).count() == 0 and q_lexical.l25(spark, str(tmp_path)).count() == 0
