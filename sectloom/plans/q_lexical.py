@@ -14,6 +14,8 @@ from sectloom.plans.runtime import cut, forget, table
 from sectloom.plans.sqlparts import MENTIONS, POST, QUERY, tokens
 
 K = 10
+#: Most rows of a numbered list that is broadcast.
+MAX_NUMBERED = 500_000
 
 
 def _w(spark, d):
@@ -325,7 +327,9 @@ p AS (SELECT rep, i, n, CAST(('0x' || md5(CAST(rep AS VARCHAR) || ':' || CAST(i
 def a18b(spark, d):
     """Bootstrap replicates of the mean reciprocal rank, drawn by hash."""
     k = cut(_title_ranks(spark, d).select("gold", F.when(F.col("truth").isNotNull(), 1.0 / (1 + F.col("better"))).otherwise(0.0).alias("rr")), "rr")
-    x = k.withColumn("i", F.row_number().over(Window.orderBy("gold")) - 1)  # gold items: a bounded battery
-    n = k.count()
+    x = cut(k.withColumn("i", F.row_number().over(Window.orderBy("gold")) - 1), "numbered")  # two numbers a title that occurs once
+    n = x.count()
     p = x.select("i", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).select("rep", F.expr(f"cast(conv(substring(md5(concat(rep, ':', i)), 1, 12), 16, 10) as bigint) % {max(1, n)}").alias("j"))
-    return p.join(x.select(F.col("i").alias("j"), "rr"), "j").groupBy(F.col("rep").cast("long").alias("rep")).agg(F.round(F.avg("rr"), 6).alias("m"))
+    y = x.select(F.col("i").alias("j"), "rr")
+    y = F.broadcast(y) if n <= MAX_NUMBERED else y
+    return p.join(y, "j").groupBy(F.col("rep").cast("long").alias("rep")).agg(F.round(F.avg("rr"), 6).alias("m"))
