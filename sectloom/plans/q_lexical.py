@@ -256,24 +256,13 @@ _TRI = "list_distinct(list_transform(range(1, length(x) - 1), lambda i: x[i:i +
 @CORE("l22_trigram_match", sql=f"""WITH t AS (SELECT DISTINCT lower(section_title) AS title, '  ' || lower(section_title) || ' ' AS x FROM sect_node WHERE section_title IS NOT NULL), g AS (SELECT title, {_TRI} AS g FROM t), e AS (SELECT title, len(g) AS n, unnest(g) AS g FROM g),
 m AS (SELECT q.title AS q, e.title, count(*) AS c, any_value(q.n) AS qn, any_value(e.n) AS n FROM e q JOIN e USING (g) WHERE q.title <> e.title GROUP BY ALL) SELECT q AS query, title, round(c / (qn + n - c), 6) AS score FROM m WHERE c / (qn + n - c) >= 0.5""")
 def l22(spark, d):
-    """Titles whose character trigrams overlap those of another title by half or more.
-
-    Two sets that overlap by half share one of the rarest |x| / 2 + 1 trigrams of each, and neither has more than twice the
-    other's: titles are joined on those alone, and the overlap is then counted exactly.
-    """
+    """Titles whose character trigrams overlap those of another title by half or more."""
     t = sections(spark, d).filter("section_title IS NOT NULL").select(F.lower("section_title").alias("title")).distinct()
     x = t.withColumn("x", F.concat(F.lit("  "), "title", F.lit(" ")))
-    g = cut(x.select("title", F.array_distinct(F.expr("transform(sequence(1, length(x) - 2), i -> substring(x, i, 3))")).alias("g")), "grams")
-    e = g.select("title", F.size("g").alias("n"), F.explode("g").alias("t"))
-    df = e.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("title").orderBy("df", "t")
-    rare = cut(e.join(df, "t").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.floor(F.col("n") / 2) + 1).select("title", "n", "t"), "rare")
-    y = rare.select(F.col("title").alias("query"), F.col("n").alias("qn"), "t")
-    pairs = y.join(rare, "t").filter("query < title AND qn <= 2 * n AND n <= 2 * qn").select("query", "title").distinct()
-    j = pairs.join(g.select(F.col("title").alias("query"), F.col("g").alias("gq")), "query").join(g, "title")
-    c = F.size(F.array_intersect("gq", "g"))
-    m = j.select("query", "title", (c / (F.size("gq") + F.size("g") - c)).alias("s")).filter("s >= 0.5").withColumn("score", F.round("s", 6))
-    return m.select("query", "title", "score").unionByName(m.select(F.col("title").alias("query"), F.col("query").alias("title"), "score"))
+    g = cut(x.select("title", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - 2), lambda i: F.xxhash64(F.substring(F.col("x"), i, F.lit(3))))).alias("g")), "grams")
+    m = L.overlapping_sets(g, "title", "g", 0.5)
+    two = F.explode(F.array(F.struct(F.col("a").alias("query"), F.col("b").alias("title")), F.struct(F.col("b").alias("query"), F.col("a").alias("title"))))
+    return m.select(two.alias("z"), F.round("s", 6).alias("score")).select("z.query", "z.title", "score")
 
 
 @CORE("l23_term_share", sql=_UNIT + ", t AS (SELECT term, sum(u * u) AS own, count(*) AS df FROM u GROUP BY term) SELECT term, round(own / df, 6) AS self_share FROM t")

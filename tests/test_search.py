@@ -1,5 +1,6 @@
 """Composed searches, block products, consensus and cuts against brute force and on dirty input."""
 
+import itertools
 import math
 import random
 
@@ -202,3 +203,29 @@ def test_bootstrap_without_titles(spark, tmp_path):
 
     spark.createDataFrame([(1, "short", "some text"), (2, None, None)], "record_id long, section_title string, text string").write.parquet(f"{tmp_path}/sect_node.parquet")
     assert q_lexical.a18b(spark, str(tmp_path)).count() == 0 and q_lexical.l25(spark, str(tmp_path)).count() == 0
+
+
+def test_overlapping_sets_equal_brute_force(spark):
+    rnd = random.Random(9)
+    base = [rnd.sample(range(3000), 30) for _ in range(12)]
+    sets = {f"s{k}": sorted(set(rnd.sample(base[k % 12], rnd.randrange(10, 30)) + rnd.sample(range(3000), 5))) for k in range(150)} | {"empty": [], "twin": sorted(set(base[0])), "twin2": sorted(set(base[0]))}
+    d = spark.createDataFrame(list(sets.items()), "k string, h array<long>")
+    want = {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = set(sets[a]), set(sets[b])
+        if x and y and len(x & y) / len(x | y) >= 0.5:
+            want[a, b] = len(x & y) / len(x | y)
+    for block in (8192, 20):
+        got = lexical.overlapping_sets(d, "k", "h", 0.5, block).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.s for r in got} == want
+
+
+def test_trigram_matches_join_no_titles(spark, tmp_path):
+    """Titles that all share their trigrams are counted in blocks; a join on trigrams would make all their pairs."""
+    from sectloom.plans import q_lexical
+
+    spark.createDataFrame([(i, f"common heading {i}") for i in range(40)] + [(90, None), (91, "")], "record_id long, section_title string").write.parquet(f"{tmp_path}/sect_node.parquet")
+    r = q_lexical.l22(spark, str(tmp_path))
+    assert "Join" not in r._jdf.queryExecution().optimizedPlan().toString()
+    got = r.collect()
+    assert len(got) == 40 * 39 and {(x.query, x.title) for x in got} == {(y.title, y.query) for y in got}
