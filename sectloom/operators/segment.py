@@ -267,6 +267,20 @@ def shape(w: str) -> str:
     return "number" if w[0].isdigit() else "upper" if w.isupper() and len(w) > 1 else "title" if w[0].isupper() and w[1:].islower() else "lower" if w.islower() else "mixed"
 
 
+def token_segments(x: str):
+    """(kind, segment begins a sentence, words) of every segment of a text that has words, in order."""
+    for block in re.split(r"\n\s*\n|\n(?=#|\|)", x):
+        kind = "heading" if block.lstrip().startswith("#") else "cell" if block.lstrip().startswith("|") else "prose"
+        for a, b in split_sentences(block) if kind == "prose" else [(0, len(block))]:
+            first = True
+            for part in _BARRIER.split(block[a:b]):
+                for piece in part.split("|") if kind == "cell" else [part]:
+                    ws = _TOK.findall(piece)
+                    if ws:
+                        yield kind, first, ws
+                        first = False
+
+
 def structural_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, seg, pos, surface, fold, shape, sent_initial, kind): tokens in segments that no math, citation,
     comment, sentence end or line of another kind is crossed by. Kinds: heading, cell, prose."""
@@ -276,23 +290,33 @@ def structural_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
         for pdf in it:
             out = []
             for k, x in zip(pdf.k, pdf.x):
-                seg = 0
-                for block in re.split(r"\n\s*\n|\n(?=#|\|)", x):
-                    kind = "heading" if block.lstrip().startswith("#") else "cell" if block.lstrip().startswith("|") else "prose"
-                    for a, b in split_sentences(block) if kind == "prose" else [(0, len(block))]:
-                        first = True
-                        for part in _BARRIER.split(block[a:b]):
-                            for piece in part.split("|") if kind == "cell" else [part]:
-                                ws = _TOK.findall(piece)
-                                for i, w in enumerate(ws):
-                                    out.append((k, seg, i, w, w.lower(), shape(w), first and i == 0, kind))
-                                if ws:
-                                    seg, first = seg + 1, False
+                for seg, (kind, first, ws) in enumerate(token_segments(x)):
+                    out += [(k, seg, i, w, w.lower(), shape(w), first and i == 0, kind) for i, w in enumerate(ws)]
             yield pd.DataFrame(out, columns=[key, "seg", "pos", "surface", "fold", "shape", "sent_initial", "kind"])
 
     return df.filter(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("x")).mapInPandas(work, f"{key} {kt}, seg int, pos int, surface string, fold string, shape string, sent_initial boolean, kind string")
 
 
+def folded_tokens(df: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """(carry, kind, fold, n, segs): how often each text has each folded token of :func:`structural_tokens`. The number of a
+    text's segments of a kind stands in the first row of that kind and is 0 in the others, so sums over rows are totals."""
+    types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)
+
+    def work(it):
+        for pdf in it:
+            out = []
+            for *c, x in zip(*[pdf[c] for c in carry], pdf.x):
+                found: dict[str, Counter] = {}
+                segs: Counter = Counter()
+                for kind, _, ws in token_segments(x):
+                    found.setdefault(kind, Counter()).update(w.lower() for w in ws)
+                    segs[kind] += 1
+                out += [(*c, kind, w, n, 0 if i else segs[kind]) for kind, f in found.items() for i, (w, n) in enumerate(f.items())]
+            yield pd.DataFrame(out, columns=[*carry, "kind", "fold", "n", "segs"])
+
+    return df.filter(F.length(text) > 0).select(*carry, F.col(text).alias("x")).mapInPandas(work, f"{types}, kind string, fold string, n long, segs long")
+
+
 def adjacent_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b, n): adjacent index tokens and how often they occur."""
     t = df.filter(F.col(text).isNotNull()).select(X.tokenize(F.col(text)).alias("t"))

@@ -265,3 +265,17 @@ def test_empty_tables(spark):
     assert lexical.weights(lexical.postings(d, "id", "text"), "id").count() == 0
     assert segment.structural_tokens(d, "id", "text").count() == 0 and segment.section_chunks(d.withColumn("t", F.lit("")), "id", "t", "text", 100, 10).count() == 0
     assert graph.components(d.select(F.col("id").alias("a"), F.col("id").alias("b")), d.select("id")).count() == 0
+
+
+def test_token_corpus_is_one_pass_without_a_join(spark, tmp_path):
+    from sectloom.plans import q_text
+
+    text = ["# Head one\n\nSome words here. Some more words [1] after, $x$ and here.\n\n| a cell | b cell |\nwords", "Words again. Dr. Who words.", None, ""]
+    rows = [(1, "p", text[0]), (2, "p", text[1]), (3, "q", text[1]), (4, None, text[1]), (5, "q", text[2]), (6, "q", text[3])]
+    d = spark.createDataFrame(rows, "record_id long, doc_id string, text string")
+    d.write.parquet(f"{tmp_path}/sect_node.parquet")
+    want = segment.structural_tokens(d, "record_id", "text").join(d.select("record_id", "doc_id"), "record_id").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("fold").alias("n_types"), F.countDistinct("record_id", "seg").alias("n_segments"))
+    r = q_text.t04(spark, str(tmp_path))
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Expand" not in plan
+    assert {tuple(x) for x in r.collect()} == {tuple(x) for x in want.collect()}
