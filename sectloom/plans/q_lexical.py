@@ -318,7 +318,7 @@ def a18b(spark, d):
     k = cut(_title_ranks(spark, d).select("gold", F.when(F.col("truth").isNotNull(), 1.0 / (1 + F.col("better"))).otherwise(0.0).alias("rr")), "rr")
     x = cut(k.withColumn("i", F.row_number().over(Window.orderBy("gold")) - 1), "numbered")  # two numbers a title that occurs once
     n = x.count()
-    p = x.select("i", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).select("rep", F.expr(f"cast(conv(substring(md5(concat(rep, ':', i)), 1, 12), 16, 10) as bigint) % {max(1, n)}").alias("j"))
+    p = x.select("i").repartition(1 + n // 4096).select("i", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).select("rep", F.expr(f"cast(conv(substring(md5(concat(rep, ':', i)), 1, 12), 16, 10) as bigint) % {max(1, n)}").alias("j"))
     y = x.select(F.col("i").alias("j"), "rr")
     y = F.broadcast(y) if n <= MAX_NUMBERED else y
     return p.join(y, "j").groupBy(F.col("rep").cast("long").alias("rep")).agg(F.round(F.avg("rr"), 6).alias("m"))
